@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,20 +84,21 @@ def _blocks(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "__key", "__text").mapInArrow(run, PLACES)
 
 
-def _windows(found: DataFrame, width: int) -> DataFrame:
+def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
     """A row for each window of the listed blocks of each row."""
 
     def run(batches):
         for batch in batches:
             parts: list[tuple] = []
-            for row, listed in zip(batch.column("__row").to_pylist(), batch.column("listed").to_pylist(), strict=True):
-                hashes = Stretches(word_hashes(row["__text"]))
+            texts = pa.compute.struct_field(batch.column("__row"), text).to_pylist()
+            for whole, doc_id, key, listed in zip(texts, *(batch.column(c).to_pylist() for c in ("__id", "__key", "listed")), strict=True):
+                hashes = Stretches(word_hashes(whole))
                 name = np.array([x["name"] for x in listed], np.int64).view(np.uint64)
                 place = np.array([x["place"] for x in listed], np.int64)
                 count = place & ((1 << COUNT_BITS) - 1)
                 first = np.repeat(place >> (KEY_BITS + COUNT_BITS), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                doc = np.full(len(first), row["__id"] or 0, np.int64)
-                parts.append((np.repeat(name, count), hashes.hash(first, width), doc, _place(first, row["__key"], 1), np.full(len(first), row["__id"] is None)))
+                doc = np.full(len(first), doc_id or 0, np.int64)
+                parts.append((np.repeat(name, count), hashes.hash(first, width), doc, _place(first, key, 1), np.full(len(first), doc_id is None)))
                 if sum(len(p[0]) for p in parts) >= 1_000_000:
                     *cols, null = map(np.concatenate, zip(*parts, strict=True))
                     yield _rows(*_settled(*cols), null)
@@ -110,8 +112,7 @@ def _windows(found: DataFrame, width: int) -> DataFrame:
 
 def _counted(places: DataFrame) -> DataFrame:
     same = Window.partitionBy("name", "content")
-    at = F.struct("doc_id", "place")
-    return places.withColumn("all", F.sum("n").over(same)).withColumn("first", F.min(at).over(same) == at)
+    return places.withColumn("all", F.sum("n").over(same)).withColumn("first", F.min("place").over(same) == F.col("place"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
@@ -133,25 +134,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 2 <= width < 1 << COUNT_BITS:
         raise ValueError(f"width must be from 2 to {(1 << COUNT_BITS) - 1}")
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND((1 << KEY_BITS) - 1).alias("__key"))
-    keyed = docs.select(row.alias("__row")).select("__row", F.col("__row.__id").alias("__id"), F.col("__row.__key").alias("__key"))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND((1 << KEY_BITS) - 1).alias("__key"), F.col(text_col).alias("__text"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND((1 << KEY_BITS) - 1)
+    text = f"c{docs.columns.index(text_col)}"
+    # rows travel whole, as one column, so that both joins below read one and the same exchange
+    keyed = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), key.alias("__key"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("__key"), F.col(text_col).alias("__text"))
     of_place = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << KEY_BITS) - 1)
 
-    found = _counted(_blocks(plain, width))
+    found = _counted(_blocks(plain, width).where("name is not null"))
     variants = found.where("first and all > 0").select("name", "content", "doc_id", "place")
-    mixed = variants.groupBy("name").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("name")
+    # the sum is zero: with it, this reads the columns that the others read, so all share one exchange of blocks
+    contents = F.count(F.lit(1)) + F.sum(F.xxhash64("doc_id") % 1)
+    mixed = variants.groupBy("name").agg(contents.alias("contents")).where("contents > 1").select("name")
     listed = variants.join(mixed, "name").groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list(F.struct("name", "place")).alias("listed"))
-    unsure = keyed.join(listed, keyed["__id"].eqNullSafe(listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "listed")
-    marks = found.where("all > 1").select("doc_id", "place").unionByName(_counted(_windows(unsure, width)).where("all > 1").select("doc_id", "place"))
+    unsure = keyed.join(listed, keyed["__id"].eqNullSafe(listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "__id", "__key", "listed")
+    marks = found.where("all > 1").select("doc_id", "place").unionByName(_counted(_windows(unsure, text, width)).where("all > 1").select("doc_id", "place"))
     marked = marks.groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list("place").alias("places"))
     joined = keyed.join(marked, keyed["__id"].eqNullSafe(marked["d"]) & (keyed["__key"] == marked["k"]), "left")
 
     def apply(batches):
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, places in zip(batch.column("__text").to_pylist(), batch.column("places"), strict=True):
-                words = (text or "").encode().split()
+            for whole, places in zip(batch.column(text).to_pylist(), batch.column("places"), strict=True):
+                words = (whole or "").encode().split()
                 gone = 0
                 if places.is_valid:
                     place = places.values.to_numpy()
@@ -169,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     carried = [f"c{i}" for i in range(len(docs.columns))]
     kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(carried, docs.schema.fields, strict=True))
-    out = joined.select("__row.*", "places").select(*carried, "__text", "places").mapInArrow(apply, f"{kinds}, __n_words long, __n_removed long, __kept string")
+    out = joined.select("__row.*", "places").mapInArrow(apply, f"{kinds}, __n_words long, __n_removed long, __kept string")
     new = F.when(F.col("__n_removed") > 0, F.col("__kept"))
     return out.select(*[(F.coalesce(new, F.col(k)) if c == text_col else F.col(k)).alias(c) for k, c in zip(carried, docs.columns, strict=True)], "__n_words", "__n_removed", "__kept")
 
