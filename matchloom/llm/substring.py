@@ -14,6 +14,8 @@ from matchloom.llm.recompress import Stretches, blocks, mix, word_hashes
 
 #: A place is (first window << 32) | (row key << 10) | windows, so windows of up to 1023 words are possible.
 KEY_BITS, COUNT_BITS = 22, 10
+#: Names at least this frequent in a 64th of the documents, at most so many, are each dealt to this many parts.
+HOT_IN_SAMPLE, MOST_HOT, SALTS = 32, 1024, 64
 #: Words that one call of the kernel takes at least, where that many are there.
 KERNEL_WORDS = 2_000_000
 
@@ -85,34 +87,41 @@ def _blocks(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
-    """A row for each window of the listed blocks of each row."""
+    """The windows of each row's listed blocks: a list for each block, or a row each under a frequent name."""
 
     def run(batches):
         for batch in batches:
-            parts: list[tuple] = []
+            name, salt, content, n, doc, place = [], [], [], [], [], []
+            hot: list[tuple] = []
             texts = pa.compute.struct_field(batch.column("__row"), text).to_pylist()
             for whole, doc_id, key, listed in zip(texts, *(batch.column(c).to_pylist() for c in ("__id", "__key", "listed")), strict=True):
                 hashes = Stretches(word_hashes(whole))
-                name = np.array([x["name"] for x in listed], np.int64).view(np.uint64)
-                place = np.array([x["place"] for x in listed], np.int64)
-                count = place & ((1 << COUNT_BITS) - 1)
-                first = np.repeat(place >> (KEY_BITS + COUNT_BITS), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                doc = np.full(len(first), doc_id or 0, np.int64)
-                parts.append((np.repeat(name, count), hashes.hash(first, width), doc, _place(first, key, 1), np.full(len(first), doc_id is None)))
-                if sum(len(p[0]) for p in parts) >= 1_000_000:
-                    *cols, null = map(np.concatenate, zip(*parts, strict=True))
-                    yield _rows(*_settled(*cols), null)
-                    parts = []
-            if parts:
-                *cols, null = map(np.concatenate, zip(*parts, strict=True))
-                yield _rows(*_settled(*cols), null)
-
-    return found.mapInArrow(run, PLACES)
-
-
-def _counted(places: DataFrame) -> DataFrame:
-    same = Window.partitionBy("name", "content")
-    return places.withColumn("all", F.sum("n").over(same)).withColumn("first", F.min("place").over(same) == F.col("place"))
+                for x in listed:
+                    count, first = x["place"] & ((1 << COUNT_BITS) - 1), x["place"] >> (KEY_BITS + COUNT_BITS)
+                    at = first + np.arange(count)
+                    here = hashes.hash(at, width)
+                    if x["hot"]:
+                        hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id or 0, np.int64), _place(at, key, 1), np.full(count, doc_id is None)))
+                    else:
+                        name.append(x["name"]), salt.append(0), content.append(here.view(np.int64)), n.append(1), doc.append(doc_id), place.append(x["place"])
+            if hot:
+                *cols, null = map(np.concatenate, zip(*hot, strict=True))
+                names, contents, counts, docs, places = _settled(*cols)
+                name.extend(names.view(np.int64).tolist()), salt.extend((contents % np.uint64(SALTS)).tolist()), content.extend(contents.view(np.int64)[:, None])
+                n.extend(counts.tolist()), doc.extend(None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)), place.extend(places.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), pa.array(content, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["name", "salt", "contents", "n", "doc_id", "place"])
+
+    return found.mapInArrow(run, "name long, salt int, contents array<long>, n long, doc_id long, place long")
+
+
+def _frequent(plain: DataFrame, width: int) -> list[int]:
+    """Names of blocks that are frequent in a 64th of the documents: they are dealt out by content as well.
+
+    Which names these are only decides where rows go, never what comes out.
+    """
+    part = _blocks(plain.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)) == 0), width).where("name is not null")
+    top = part.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {HOT_IN_SAMPLE}").orderBy(F.desc("n"), "name").limit(MOST_HOT)
+    return [r["name"] for r in top.collect()]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
@@ -142,14 +151,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("__key"), F.col(text_col).alias("__text"))
     of_place = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << KEY_BITS) - 1)
 
-    found = _counted(_blocks(plain, width).where("name is not null"))
-    variants = found.where("first and all > 0").select("name", "content", "doc_id", "place")
-    # the sum is zero: with it, this reads the columns that the others read, so all share one exchange of blocks
-    contents = F.count(F.lit(1)) + F.sum(F.xxhash64("doc_id") % 1)
-    mixed = variants.groupBy("name").agg(contents.alias("contents")).where("contents > 1").select("name")
-    listed = variants.join(mixed, "name").groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list(F.struct("name", "place")).alias("listed"))
+    hot = _frequent(plain, width)
+    is_hot = F.col("name").isin(hot) if hot else F.lit(False)
+    found = _blocks(plain, width).where("name is not null").withColumn("salt", F.when(is_hot, F.pmod("content", F.lit(SALTS))).otherwise(0).cast("int")).repartition("name", "salt")
+    of_name, of_block = Window.partitionBy("name", "salt"), Window.partitionBy("name", "salt", "content")
+    found = found.withColumn("all", F.sum("n").over(of_block)).withColumn("least", F.min("place").over(of_block)).withColumn("a", F.min("content").over(of_name)).withColumn("b", F.max("content").over(of_name))
+    # one of each block whose name other blocks have too; all > 0 reads what the marks read, so both share one exchange
+    unsure = found.where((F.col("least") == F.col("place")) & (F.col("all") > 0) & ((F.col("a") != F.col("b")) | is_hot))
+    listed = unsure.groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list(F.struct("name", "place", is_hot.alias("hot"))).alias("listed"))
     unsure = keyed.join(listed, keyed["__id"].eqNullSafe(listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "__id", "__key", "listed")
-    marks = found.where("all > 1").select("doc_id", "place").unionByName(_counted(_windows(unsure, text, width)).where("all > 1").select("doc_id", "place"))
+    lists = _windows(unsure, text, width).repartition("name", "salt")
+    single = lists.select("name", "salt", "n", "doc_id", "place", F.posexplode("contents").alias("i", "content")).withColumn("all", F.sum("n").over(of_block)).where("all > 1")
+    one = F.col("place") - F.col("place").bitwiseAND((1 << COUNT_BITS) - 1) + F.col("i").cast("long") * (1 << (KEY_BITS + COUNT_BITS)) + 1
+    marks = found.where("all > 1").select("doc_id", "place").unionByName(single.select("doc_id", one.alias("place")))
     marked = marks.groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list("place").alias("places"))
     joined = keyed.join(marked, keyed["__id"].eqNullSafe(marked["d"]) & (keyed["__key"] == marked["k"]), "left")
 
