@@ -16,7 +16,9 @@ COMMON_WORDS = {
 }
 VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: Character classes; what none of them takes is the last class.
-CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "stop": r"[.,;:!?]+", "quote": r"['\"()\[\]{}-]+", "symbol": r"[#*$%&|<>]+"}
+CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "stop": r"[.,;:!?]+", "quote": r"['\"()\[\]{}-]+"}
+#: Fixed value: the symbols that the base rules count, a class of their own.
+SYMBOLS = "#*$%&|<>"
 #: One code for each common word, from the first printable character on.
 CODES = [chr(0x100 + i) for i in range(len(VOCABULARY))]
 
@@ -29,8 +31,8 @@ def _let(value: Column, body) -> Column:
 def repeated_words(ws: Column, width: int = 5) -> Column:
     """Words that lie in some ``width``-word window found twice or more in the array, first included.
 
-    Window hashes sorted with their places show repeated windows as neighbours; the sorted places
-    of those give the covered words, all in O(n log n) of one row.
+    Where the window hashes aren't all distinct, sorting them with their places makes repeated
+    windows neighbours; the sorted places of those give the covered words, in O(n log n) of one row.
     """
     def covered(places: Column) -> Column:
         step = F.transform(places, lambda p, i: F.least(F.lit(width), F.coalesce(F.get(places, i + 1), p + width) - p))
@@ -40,10 +42,13 @@ def repeated_words(ws: Column, width: int = 5) -> Column:
         same = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
         return _let(F.array_sort(F.transform(same, lambda x: x["i"])), covered)
 
+    def counted(names: Column) -> Column:
+        placed = F.array_sort(F.transform(names, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.lit(0).cast("long")).otherwise(_let(placed, dups))
+
     def windows(hs: Column) -> Column:
-        n = F.size(hs) - width + 1
-        at = F.sequence(F.lit(0), n - 1)
-        return _let(F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(hs, i + j) for j in range(width)]).alias("h"), i.alias("i")))), dups)
+        at = F.sequence(F.lit(0), F.size(hs) - width)
+        return _let(F.transform(at, lambda i: F.xxhash64(*[F.get(hs, i + j) for j in range(width)])), counted)
 
     long = F.size(ws) > width
     return F.coalesce(F.when(long, _let(F.transform(ws, lambda w: F.xxhash64(w)), windows)), F.lit(0).cast("long"))
@@ -55,16 +60,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     df = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], text_of(text_col).alias("__text"))
     df = df.withColumn("__n", F.length(text)).withColumn("__ws", words(text))
     size_without = lambda p: F.length(F.regexp_replace(text, p, ""))
-    coded = F.array_join(F.transform(F.filter(ws, lambda w: F.lower(w).isin(VOCABULARY)), lambda w: F.element_at(F.create_map(*[F.lit(x) for kv in zip(VOCABULARY, CODES, strict=True) for x in kv]), F.lower(w))), "")
+    symbols = F.col("__n") - F.length(F.translate(text, SYMBOLS, ""))
+    code = F.create_map(*[F.lit(x) for kv in zip(VOCABULARY, CODES, strict=True) for x in kv])
+    coded = F.array_join(F.transform(F.filter(F.transform(ws, F.lower), lambda w: w.isin(VOCABULARY)), lambda w: F.element_at(code, w)), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         "doc_id", *carry,
         F.size(ws).cast("long").alias("n_words"),
         size_without(SPACE).cast("long").alias("word_chars"),
-        (F.col("__n") - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        symbols.cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(ws).alias("n_repeat_words"),
-        F.array(*[F.col("__n") - size_without(p) for p in CLASSES.values()]).alias("chars"),
+        F.array(*[F.col("__n") - size_without(p) for p in CLASSES.values()], symbols).alias("chars"),
         coded.alias("coded"),
     )
     rest = lambda a, total: F.concat(a, F.array(total - F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)))
@@ -101,7 +108,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = cut(measures(docs.withColumn("__lang", F.col(lang_col)), id_col, text_col, ("__lang",)))
     chars, common = F.transform("chars", lambda x: x.cast("double")), F.transform("common", lambda x: x.cast("double"))
     rows = rows.withColumn("p", _shares(chars)).withColumn("w", _shares(common))
-    n_chars, n_common = len(CLASSES) + 1, len(VOCABULARY) + 1
+    n_chars, n_common = len(CLASSES) + 2, len(VOCABULARY) + 1
     usable = rows.where(~base_failed() & F.col("__lang").isin(list(COMMON_WORDS)))
     pooled = usable.groupBy("__lang").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(n_chars)]).alias("p"), F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("w")).orderBy("__lang").collect()
     lit = lambda xs: F.array(*[F.lit(float(x or 0.0)) for x in xs])
