@@ -14,6 +14,8 @@ from matchloom.llm.common import cut, text_key, text_of
 
 #: Characters of a chunk, and of what two neighbours share at first.
 CHUNK, OVERLAP = 1 << 16, 1 << 11
+#: Characters whose encodings are held at a time, but for a longer text.
+AT_ONCE = 1 << 19
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,10 +35,17 @@ def load_tokenizer(path: str):
 
 
 def count_batch(path: str, texts: list[str]) -> list[int]:
-    tok = load_tokenizer(path)
-    if path.endswith(".model"):
-        return [len(ids) for ids in tok.encode(texts, num_threads=1)]
-    return [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    """Tokens of each text; few characters are held as encodings at a time, as those take many times their text's memory."""
+    tok, out, at = load_tokenizer(path), [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        out += [len(ids) for ids in (tok.encode(part, num_threads=1) if path.endswith(".model") else tok.encode_batch_fast(part, add_special_tokens=False))]
+        at = end
+    return out
 
 
 @functools.lru_cache(maxsize=4)
