@@ -1 +1 @@
-
+"""Scalar functions: text normalisers and similarities."""

@@ -1,17 +1,817 @@
-"""Queries of the record-linkage operators and their SQL."""
+"""Queries of the record-linkage operators, named after the inventory, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchloom.functions import similarity as S
+from matchloom.functions import text as X
+from matchloom.operators import blocking as B
+from matchloom.operators import decide as D
+from matchloom.operators import evaluate as E
+from matchloom.operators import features as FT
+from matchloom.operators import tfidf as TI
+from matchloom.sources import records as R
 
 FLAGSHIP = "e1_rare_tokens"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+LEGAL = rf"(^|[^a-z0-9])(?:{X.LEGAL})([^a-z0-9]|$)"
+CORE = rf"regexp_replace(regexp_replace(regexp_replace(lower({{}}), '{LEGAL}', ' ', 'g'), '{LEGAL}', ' ', 'g'), '[^\p{{{{L}}}}\p{{{{M}}}}\p{{{{N}}}}]+', '', 'g')"
+TOKENS = "list_distinct(list_filter(string_split(" + NORM + ", ' '), lambda x: length(x) >= {}))"
+_ROLES = ", s1 as (select * from rec where source = 'S1'), t as (select entity_id as target_id, business_name, business_address, country, source from rec where source <> 'S1')"
+#: Pages and documents as records, and deterministic scored pairs with a truth over them.
+PAGES = r"""with rec as (select 'S' || (page_id % 3 + 1) || '-' || page_id as entity_id, regexp_extract(coalesce(html, ''), '<title>(.*?)</title>', 1, 's') as business_name,
+ coalesce(url, '') as business_address, regexp_extract(coalesce(html, ''), '<html lang="([a-z]*)"', 1) as country, 'S' || (page_id % 3 + 1) as source from pages)""" + _ROLES
+DOCS = r"""with d0 as (select *, coalesce(text, '') as tx, instr(coalesce(text, ''), chr(10)) as brk from documents),
+rec as (select 'S' || (doc_id % 3 + 1) || '-' || doc_id as entity_id, case when brk > 0 then substr(tx, 1, brk - 1) else tx end as business_name,
+ case when brk > 0 then substr(tx, brk + 1) else '' end as business_address, coalesce(lang, '') as country, 'S' || (doc_id % 3 + 1) as source from d0)""" + _ROLES
+KEYED = f", pairs as (select distinct a.entity_id as s1_id, b.target_id from s1 a join t b on a.country = b.country and {CORE.format('a.business_name').replace('{{', '{').replace('}}', '}')} = {CORE.format('b.business_name').replace('{{', '{').replace('}}', '}')} where {CORE.format('a.business_name').replace('{{', '{').replace('}}', '}')} <> '')"
+NUM = lambda c: f"cast(split_part({c}, '-', 2) as bigint)"
+SCORED = PAGES + KEYED + f", scored as (select p.s1_id, p.target_id, b.country, b.business_address as t_address, b.source, ({NUM('p.s1_id')} * 31 + {NUM('p.target_id')} * 17) % 1000 / 1000.0::double as prob from pairs p join t b using (target_id)), truth as (select min(s1_id) as s1_id, target_id from pairs group by target_id)"
+COUNTRY_LIMITS = {"en": 0.4, "fr": 0.6}
+
+
+def core(c: str) -> str:
+    return CORE.format(c).replace("{{", "{").replace("}}", "}")
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def pages(spark, sf):
+    return R.split_roles(R.page_records(spark, sf))
+
+
+def docs(spark, sf):
+    return R.split_roles(R.document_records(spark, sf))
+
+
+def keyed(q, t):
+    return B.key_route(q, t, X.core_key(F.col("business_name")), X.core_key(F.col("business_name")))
+
+
+def scored(spark, sf):
+    """Pairs of equal core names with a score that SQL can repeat, and which are true."""
+    q, t = pages(spark, sf)
+    pairs = keyed(q, t)
+    number = lambda c: F.element_at(F.split(c, "-"), -1).cast("bigint")
+    made = pairs.join(t.select("target_id", "country", F.col("business_address").alias("t_address"), "source"), "target_id").withColumn("prob", (number("s1_id") * 31 + number("target_id") * 17) % 1000 / 1000.0)
+    return q, t, made.select("s1_id", "target_id", "country", "t_address", "source", "prob"), pairs.groupBy("target_id").agg(F.min("s1_id").alias("s1_id")).select("s1_id", "target_id")
+
+
+r6 = lambda c: F.round(c, 6)
+
+# ---- A: sources and sinks -------------------------------------------------------------------
+
+
+@query("a1_targets", DOCS + " select target_id, business_name, length(business_address) as address_length, country, source from t")
+def _(spark, sf):
+    return docs(spark, sf)[1].select("target_id", "business_name", F.length("business_address").cast("long").alias("address_length"), "country", "source")
+
+
+@query("a4_wanted_slice", PAGES + ", w as (select entity_id from s1 where country = 'en') select entity_id, country from (select * from s1 semi join w using (entity_id) order by entity_id limit 40) order by entity_id offset 10")
+def _(spark, sf):
+    q, _t = pages(spark, sf)
+    return R.wanted_slice(q, q.where("country = 'en'").select("entity_id"), 10, 40).select("entity_id", "country")
+
+
+@query("a6_parquet_columns", "select o_orderkey, o_orderstatus from orders")
+def _(spark, sf):
+    return R.read_columns(spark, f"{sf}/orders.parquet", "o_orderkey", "o_orderstatus")
+
+
+@query("a10_candidate_lists", PAGES + KEYED + " select s1.entity_id as source1_entity_id, coalesce(string_agg(p.target_id, ',' order by p.target_id), '') as candidate_entity_ids from s1 left join pairs p on p.s1_id = s1.entity_id group by 1")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return R.list_rows(q, keyed(q, t))
+
+
+@query("a12_lockstep", PAGES + " select entity_id as source1_entity_id, country <> 'fr' as in_left from s1 where (country <> 'fr') <> (country <> 'de')")
+def _(spark, sf):
+    q = pages(spark, sf)[0].withColumnRenamed("entity_id", "source1_entity_id")
+    return R.lockstep(q.where("country <> 'fr'"), q.where("country <> 'de'"))
+
+
+@query("a13_merge_sparse", PAGES + KEYED + ", base as (select s1.entity_id, coalesce(string_agg(p.target_id, ',' order by p.target_id), '') as ids from s1 left join pairs p on p.s1_id = s1.entity_id group by 1) select entity_id as source1_entity_id, case when ids = '' then 'S2-0' else array_to_string(list_sort(list_append(string_split(ids, ','), 'S2-0')), ',') end as candidate_entity_ids from base")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    extra = q.select(F.col("entity_id").alias("source1_entity_id"), F.lit("S2-0").alias("candidate_entity_ids"))
+    return R.merge_sparse(R.list_rows(q, keyed(q, t)), extra)[0]
+
+
+@query("a17_hash_sample")
+def _(spark, sf):
+    return R.sample_rows(docs(spark, sf)[0].select("entity_id", "country"), "entity_id", 200)
+
+
+@query("a18_systematic", PAGES + ", n as (select entity_id, row_number() over (order by entity_id) - 1 as i from s1) select entity_id from n where i % 7 = 0")
+def _(spark, sf):
+    return R.systematic(pages(spark, sf)[0].select("entity_id"), "entity_id", 7)
+
+
+@query("a19_hash_mod_targets")
+def _(spark, sf):
+    return docs(spark, sf)[1].where(F.pmod(F.xxhash64("target_id"), F.lit(10)) == 3).select("target_id", "country")
+
+
+@query("a20_shard_check", "select cast(null as varchar) as source1_entity_id, cast(null as bigint) as n where false")
+def _(spark, sf):
+    q = pages(spark, sf)[0].select(F.col("entity_id").alias("source1_entity_id"))
+    part = F.pmod(F.xxhash64("source1_entity_id"), F.lit(3))
+    return R.shard_check([q.where(part == i) for i in range(3)], q)
+
+
+@query("a22_quota_check", PAGES + KEYED + " select max(n) as largest, sum(n)::bigint as pairs from (select count(*) as n from pairs group by s1_id)")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return keyed(q, t).groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("pairs"))
+
+
+@query("a24_stratified_reservoir")
+def _(spark, sf):
+    return R.sample_strata(docs(spark, sf)[1].select("target_id", "country", "source"), ["country", "source"], "target_id", 20)
+
+
+@query("a25_first_rows", PAGES + " select entity_id from s1 order by entity_id limit 25")
+def _(spark, sf):
+    return pages(spark, sf)[0].select("entity_id").orderBy("entity_id").limit(25)
+
+
+# ---- B: projections, filters ------------------------------------------------------------------
+
+
+@query("b3_token_lengths", DOCS + f" select target_id, len({TOKENS.format('business_name', 4)})::bigint as n4, len({TOKENS.format('business_address', 2)})::bigint as n2 from t")
+def _(spark, sf):
+    return docs(spark, sf)[1].select("target_id", F.size(X.tokens(F.col("business_name"), 4)).cast("long").alias("n4"), F.size(X.tokens(F.col("business_address"), 2)).cast("long").alias("n2"))
+
+
+POSTED = DOCS + f", posted as (select target_id, country, unnest({TOKENS.format('business_address', 4)}) as tok from t), df as (select country, tok, count(*) as df from posted group by all)"
+
+
+@query("b4_capped_postings", POSTED + " select target_id, country, tok, df from posted join df using (country, tok) where df <= 20")
+def _(spark, sf):
+    return B.rare_postings(B.postings(docs(spark, sf)[1], "target_id", F.col("business_address")), 20).select("target_id", "country", "tok", "df")
+
+
+@query("b6_blank_addresses", DOCS + " select target_id, country from t where business_address = ''")
+def _(spark, sf):
+    return docs(spark, sf)[1].where(F.coalesce("business_address", F.lit("")) == "").select("target_id", "country")
+
+
+@query("b7_regex_predicates", DOCS + r" select entity_id, regexp_matches(business_name, '(?i)\b(dba|aka|t/a|trading as)\b') as alias, regexp_matches(business_address, '(?i)\bnull\b') as literal_null, regexp_matches(business_name, '^[^\p{L}\p{N}]') as leading_symbol, regexp_matches(lower(business_address), '[a-z0-9-]+\.(com|net|org)') as domain, length(business_name) > 100 as long_name from rec")
+def _(spark, sf):
+    n, a = F.col("business_name"), F.col("business_address")
+    return R.document_records(spark, sf).select("entity_id", n.rlike(r"(?i)\b(dba|aka|t/a|trading as)\b").alias("alias"), a.rlike(r"(?i)\bnull\b").alias("literal_null"), n.rlike(r"^[^\p{L}\p{N}]").alias("leading_symbol"), F.lower(a).rlike(r"[a-z0-9-]+\.(com|net|org)").alias("domain"), (F.length(n) > 100).alias("long_name"))
+
+
+@query("b8_country_thresholds", SCORED + " select s1_id, target_id, prob from scored where prob >= case country when 'en' then 0.4 when 'fr' then 0.6 else 0.5 end")
+def _(spark, sf):
+    return D.accept(scored(spark, sf)[2], COUNTRY_LIMITS, 0.5, None).select("s1_id", "target_id", "prob")
+
+
+@query("b9_blank_threshold", SCORED + ", b as (select *, case when source = 'S2' then '' else t_address end as a from scored) select s1_id, target_id, prob from b where prob >= case when a = '' then 0.8 when country = 'en' then 0.4 when country = 'fr' then 0.6 else 0.5 end")
+def _(spark, sf):
+    rows = scored(spark, sf)[2].withColumn("t_address", F.when(F.col("source") == "S2", "").otherwise(F.col("t_address")))
+    return D.accept(rows, COUNTRY_LIMITS, 0.5).select("s1_id", "target_id", "prob")
+
+
+@query("b10_source_country_thresholds", SCORED + " select s1_id, target_id, prob from scored where prob >= case country || ':' || source when 'en:S2' then 0.3 when 'en:S3' then 0.7 else 0.5 end")
+def _(spark, sf):
+    limit = D.threshold_of(F.concat_ws(":", "country", "source"), D.parse_thresholds(["en:S2:0.3", "en:S3:0.7"]), 0.5)
+    return scored(spark, sf)[2].where(F.col("prob") >= limit).select("s1_id", "target_id", "prob")
+
+
+GATE = SCORED + ", gate as (select s1.entity_id as s1_id, count(k.s1_id) as n_matches from s1 left join (select * from scored where prob >= 0.5) k on k.s1_id = s1.entity_id where s1.country = 'en' group by 1 having count(k.s1_id) <= 3)"
+
+
+@query("b11_match_count_gate", GATE + " select s1_id, n_matches from gate")
+def _(spark, sf):
+    q, _t, p, _truth = scored(spark, sf)
+    return D.low_coverage(q, p.where("prob >= 0.5"), "en", 3)
+
+
+@query("b12_gated_extra", GATE + " select s1_id, target_id from scored semi join gate using (s1_id) where prob < 0.5")
+def _(spark, sf):
+    q, _t, p, _truth = scored(spark, sf)
+    return D.gate(p.where("prob < 0.5"), D.low_coverage(q, p.where("prob >= 0.5"), "en", 3)).select("s1_id", "target_id")
+
+
+# ---- C: joins ---------------------------------------------------------------------------------
+
+RARE = POSTED + f", mine as (select entity_id as s1_id, country, unnest({TOKENS.format('business_address', 4)}) as tok from s1), ranked as (select m.*, df, row_number() over (partition by s1_id order by df, tok) as rk from mine m join df using (country, tok) where df <= 20)"
+
+
+@query("e1_rare_tokens", RARE + ", pairs as (select distinct r.s1_id, p.target_id from ranked r join posted p using (country, tok) where rk <= 3) select s1.entity_id as source1_entity_id, coalesce(string_agg(p.target_id, ',' order by p.target_id), '') as candidate_entity_ids from s1 left join pairs p on p.s1_id = s1.entity_id group by 1")
+def _(spark, sf):
+    q, t = docs(spark, sf)
+    return R.list_rows(q, B.token_route(q, t, "business_address", 20))
+
+
+@query("c2_rare_token_route", RARE + " select distinct r.s1_id, p.target_id from ranked r join posted p using (country, tok) where rk <= 3")
+def _(spark, sf):
+    q, t = docs(spark, sf)
+    return B.token_route(q, t, "business_address", 20)
+
+
+@query("c3_core_key_route", PAGES + KEYED + " select s1_id, target_id from pairs")
+def _(spark, sf):
+    return keyed(*pages(spark, sf))
+
+
+@query("c4_accent_key_route")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return B.key_route(q, t, X.accent_key(X.core_key(F.col("business_name"))), X.accent_key(X.core_key(F.col("business_name"))))
+
+
+@query("c5_hydrate", PAGES + KEYED + " select p.s1_id, p.target_id, a.business_name as q_name, a.business_address as q_address, b.business_name as t_name, b.business_address as t_address, b.source as target_source from pairs p join s1 a on a.entity_id = p.s1_id join t b using (target_id)")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return B.hydrate(keyed(q, t), q, t).select("s1_id", "target_id", "q_name", "q_address", "t_name", "t_address", "target_source")
+
+
+@query("c6_completeness", PAGES + KEYED + " select s1_id, target_id from pairs anti join (select * from t where source = 'S2') x using (target_id)")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return B.unmatched(keyed(q, t), t.where("source = 'S2'")).select("s1_id", "target_id")
+
+
+@query("c10_cross_source_overlap", DOCS + " select target_id from t a where source = 'S2' and exists (select 1 from t b where b.source = 'S3' and b.business_name = a.business_name and b.business_address = a.business_address)")
+def _(spark, sf):
+    t = docs(spark, sf)[1]
+    return t.where("source = 'S2'").join(t.where("source = 'S3'"), ["business_name", "business_address"], "left_semi").select("target_id")
+
+
+@query("c11_lower_field_join", PAGES + " select a.entity_id as s1_id, b.target_id from s1 a join t b on lower(a.business_name) = lower(b.business_name) and a.country = b.country where a.business_name <> ''")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return B.key_route(q, t, F.lower("business_name"), F.lower("business_name"))
+
+
+COMPACT = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+STEM = r"regexp_extract(lower({}), '^(?:[a-z]+://)?(?:www\.|m\.|blog\.)?([a-z0-9-]+)\.', 1)"
+
+
+@query("c12_key_family", PAGES + "".join(f", k{i} as (select '{n}' as key, count(distinct (a.entity_id, b.target_id)) as pairs from s1 a join t b on a.country = b.country and {e('a.business_name')} = {e('b.business_name')} where {e('a.business_name')} <> '')" for i, (n, e) in enumerate({"raw": lambda c: c, "basic": NORM.format, "compact": COMPACT.format, "core": core}.items())) + " select * from k0 union all select * from k1 union all select * from k2 union all select * from k3")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    n = F.col("business_name")
+    out = None
+    for name, e in {"raw": n, "basic": X.norm(n), "compact": X.compact(n), "core": X.core_key(n)}.items():
+        one = B.key_route(q, t, e, e).agg(F.lit(name).alias("key"), F.count(F.lit(1)).alias("pairs"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("c13_domain_stem_route", PAGES + f" select distinct a.entity_id as s1_id, b.target_id from s1 a join t b on a.country = b.country and {STEM.format('a.business_address')} = {STEM.format('b.business_address')} where {STEM.format('a.business_address')} <> ''")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return B.key_route(q, t, X.domain_stem(F.col("business_address")), X.domain_stem(F.col("business_address")))
+
+
+NUMBERS = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '([0-9]+)', 1), lambda x: length(x) >= 2), lambda x: case when regexp_replace(x, '^0+', '') = '' then '0' else regexp_replace(x, '^0+', '') end))"
+
+
+@query("c14_number_route", DOCS + f", posted as (select target_id, country, unnest({NUMBERS.format('business_address')}) as tok from t), df as (select country, tok, count(*) as df from posted group by all having count(*) <= 100), mine as (select entity_id as s1_id, country, unnest({NUMBERS.format('business_address')}) as tok from s1), ranked as (select m.*, row_number() over (partition by s1_id order by df, tok) as rk from mine m join df using (country, tok)) select distinct r.s1_id, p.target_id from ranked r join posted p using (country, tok) where rk <= 2")
+def _(spark, sf):
+    return B.number_route(*docs(spark, sf), 100)
+
+
+SIBLINGS = SCORED + ", anchors as (select * from scored where prob >= 0.7), sib as (select c.s1_id, c.target_id, a.target_id as anchor_id from (select * from scored where prob < 0.7) c join anchors a on a.s1_id = c.s1_id and a.target_id <> c.target_id)"
+
+
+@query("c15_exact_siblings", SIBLINGS + f" select sib.s1_id, sib.target_id, bool_or({NORM.format('x.business_name')} = {NORM.format('y.business_name')} or x.business_address = y.business_address) as exact from sib join t x using (target_id) join t y on y.target_id = sib.anchor_id group by all")
+def _(spark, sf):
+    _q, t, p, _truth = scored(spark, sf)
+    pairs = B.siblings(p.where("prob < 0.7").select("s1_id", "target_id"), p.where("prob >= 0.7")).select("s1_id", "target_id", "anchor_id")
+    field = lambda n: t.select(F.col("target_id").alias(n), X.norm(F.col("business_name")).alias(f"{n}_name"), F.col("business_address").alias(f"{n}_address"))
+    sib = pairs.join(field("target_id"), "target_id").join(field("anchor_id"), "anchor_id")
+    return sib.groupBy("s1_id", "target_id").agg(F.bool_or((F.col("target_id_name") == F.col("anchor_id_name")) | (F.col("target_id_address") == F.col("anchor_id_address"))).alias("exact"))
+
+
+@query("c17_anchor_pairs", SIBLINGS + " select s1_id, target_id, anchor_id from sib")
+def _(spark, sf):
+    p = scored(spark, sf)[2]
+    return B.siblings(p.where("prob < 0.7").select("s1_id", "target_id"), p.where("prob >= 0.7")).select("s1_id", "target_id", "anchor_id")
+
+
+@query("c18_one_hop")
+def _(spark, sf):
+    _q, t, p, _truth = scored(spark, sf)
+    return B.one_hop(p.where("prob >= 0.7"), t, "business_name", 100)
+
+
+@query("c21_owner_lookup", SCORED + " select target_id, s1_id from truth")
+def _(spark, sf):
+    return scored(spark, sf)[3].select("target_id", "s1_id")
+
+
+# ---- D: aggregations ----------------------------------------------------------------------------
+
+
+@query("d1_document_frequency", POSTED + " select country, tok, df from df")
+def _(spark, sf):
+    return B.frequencies(B.postings(docs(spark, sf)[1], "target_id", F.col("business_address")))
+
+
+@query("d3_blank_core_frequency", DOCS + f", k as (select *, {core('business_name')} as ck from t) select b.target_id, count(*) as df from k b join k a on a.country = b.country and a.ck = b.ck where b.business_address = '' group by 1")
+def _(spark, sf):
+    k = docs(spark, sf)[1].select("target_id", "country", (F.col("business_address") == "").alias("blank"), X.core_key(F.col("business_name")).alias("ck"))
+    df = k.join(k.where("blank").select("country", "ck").distinct(), ["country", "ck"], "left_semi").groupBy("country", "ck").agg(F.count(F.lit(1)).alias("df"))
+    return k.where("blank").join(df, ["country", "ck"]).select("target_id", "df")
+
+
+@query("d5_source_profile", DOCS + " select source, count(*) as n, count(*) filter (where business_address = '') as blank, round(avg(length(business_name)), 6) as name_length, sum(case when length(business_address) > 1000 then 1 else 0 end)::bigint as long_address, count(distinct (business_name, country)) as names from rec group by source")
+def _(spark, sf):
+    return R.document_records(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("business_address") == "").alias("blank"), r6(F.avg(F.length("business_name"))).alias("name_length"), F.sum(F.when(F.length("business_address") > 1000, 1).otherwise(0)).alias("long_address"), F.count_distinct(F.struct("business_name", "country")).alias("names"))
+
+
+@query("d8_most_frequent_names", DOCS + " select business_name, count(*) as n from rec group by 1 having count(*) > 1 order by n desc, business_name limit 20")
+def _(spark, sf):
+    return R.document_records(spark, sf).groupBy("business_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "business_name").limit(20)
+
+
+@query("d9_group_sizes", SCORED + ", n as (select s1.entity_id, count(x.target_id) as size from s1 left join truth x on x.s1_id = s1.entity_id group by 1) select size, count(*) as groups from n group by 1")
+def _(spark, sf):
+    q, _t, _p, truth = scored(spark, sf)
+    lists = R.list_rows(q, truth, "matched_entity_ids")
+    return lists.groupBy(F.size(R.decode_list(F.col("matched_entity_ids"))).cast("long").alias("size")).agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query("d12_grouping_sets", DOCS + " select country, source, count(*) as n from rec group by grouping sets ((), (country), (source), (country, source))")
+def _(spark, sf):
+    rows = R.document_records(spark, sf)
+    return rows.groupingSets([[], [rows.country], [rows.source], [rows.country, rows.source]], rows.country, rows.source).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d14_index_quantiles", SCORED + ", n as (select s1.entity_id, count(x.target_id) as n from s1 left join scored x on x.s1_id = s1.entity_id group by 1), o as (select n, row_number() over (order by n) - 1 as i, count(*) over () as total from n) select p, n as value from o, (values (0.5::double), (0.95::double), (0.99::double)) v(p) where i = floor(p * (total - 1))")
+def _(spark, sf):
+    q, _t, p, _truth = scored(spark, sf)
+    n = q.select(F.col("entity_id").alias("s1_id")).join(p.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")), "s1_id", "left").fillna(0, ["n"])
+    return E.index_quantiles(n, "n", [0.5, 0.95, 0.99])
+
+
+@query("d15_percentiles", SCORED + " select country, round(quantile_cont(prob, 0.5), 6) as median, round(quantile_cont(prob, 0.95), 6) as p95 from scored group by 1")
+def _(spark, sf):
+    return scored(spark, sf)[2].groupBy("country").agg(r6(F.percentile("prob", F.lit(0.5))).alias("median"), r6(F.percentile("prob", F.lit(0.95))).alias("p95"))
+
+
+@query("d16_bins", DOCS + " select case when length(business_name) < 30 then '<30' when length(business_name) < 50 then '30-49' when length(business_name) < 90 then '50-89' else '90+' end as bin, count(*) as n from rec group by 1")
+def _(spark, sf):
+    return R.document_records(spark, sf).groupBy(E.bins(F.length("business_name"), [30, 50, 90]).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d17_score_grid", SCORED + " select floor(prob * 10)::bigint as a, country, count(*) as n from scored group by all")
+def _(spark, sf):
+    return scored(spark, sf)[2].groupBy(F.floor(F.col("prob") * 10).alias("a"), "country").agg(F.count(F.lit(1)).alias("n"))
+
+
+METRIC = SCORED + ", links as (select * from scored where prob >= 0.5), j as (select coalesce(x.s1_id, l.s1_id) as s1_id, x.target_id as a, l.target_id as b from truth x full join links l on l.s1_id = x.s1_id and l.target_id = x.target_id), n as (select s1.entity_id as s1_id, count(a) filter (where b is not null) as tp, count(b) filter (where a is null) as fp, count(a) filter (where b is null) as fn from s1 left join j on j.s1_id = s1.entity_id group by 1), f as (select *, case when tp + fn = 0 then case when fp = 0 then 1.0 else 0.0 end else 1.25 * tp / (1.25 * tp + fp + 0.25 * fn) end::double as f05 from n)"
+
+
+@query("h34_query_f05", METRIC + " select s1_id, tp, fp, fn, round(f05, 6) as f05 from f")
+def _(spark, sf):
+    q, _t, p, truth = scored(spark, sf)
+    return E.per_query(q.select(F.col("entity_id").alias("s1_id")), truth, p.where("prob >= 0.5")).withColumn("f05", r6("f05"))
+
+
+@query("d19_macro_metrics", METRIC + " select count(*) as queries, round(avg(f05), 6) as macro_f05, round(sum(tp) / greatest(1, sum(tp + fp)), 6) as pair_precision, round(sum(tp) / greatest(1, sum(tp + fn)), 6) as pair_recall, round(avg(case when tp + fn > 0 then (fn = 0)::int::double end), 6) as complete_sets, round(avg(case when tp + fn = 0 then (fp = 0)::int::double end), 6) as empty_accuracy from f")
+def _(spark, sf):
+    q, _t, p, truth = scored(spark, sf)
+    m = E.macro(E.per_query(q.select(F.col("entity_id").alias("s1_id")), truth, p.where("prob >= 0.5")))
+    return m.select("queries", *[r6(c).alias(c) for c in m.columns[1:]])
+
+
+@query("d20_oracle_ceiling", METRIC + " select round(avg(case when tp + fn = 0 then 1.0 else 1.25 * tp / (1.25 * tp + 0.25 * fn) end), 6) as oracle_f05 from f")
+def _(spark, sf):
+    q, _t, p, truth = scored(spark, sf)
+    return E.ceiling(q.select(F.col("entity_id").alias("s1_id")), truth, p.where("prob >= 0.5")).select(r6("oracle_f05").alias("oracle_f05"))
+
+
+TOP = SCORED + ", ranked as (select *, row_number() over (partition by s1_id order by prob desc, target_id) as rn from scored)"
+
+
+@query("d23_recall_at", TOP + ", h as (select rn from truth left join ranked using (s1_id, target_id)) select k::int as k, count(*) as links, count(*) filter (where rn <= k) as found from h, (values (1), (5), (20)) v(k) group by 1")
+def _(spark, sf):
+    _q, _t, p, truth = scored(spark, sf)
+    return E.recall_at(B.rank(p, [F.desc("prob"), F.asc("target_id")]), truth, [1, 5, 20])
+
+
+def labelled(spark, sf):
+    _q, _t, p, truth = scored(spark, sf)
+    return p.join(truth.withColumn("hit", F.lit(True)), ["s1_id", "target_id"], "left").withColumn("is_match", F.col("hit").isNotNull()).drop("hit")
+
+
+LABELLED = SCORED + ", labelled as (select s.*, x.target_id is not null as is_match from scored s left join truth x using (s1_id, target_id))"
+
+
+@query("d24_roc_auc", LABELLED + ", lv as (select prob, count(*) filter (where is_match) as pos, count(*) as n from labelled group by 1), c as (select *, sum(pos) over w as tp, sum(n - pos) over w as fp from lv window w as (order by prob desc)) select round((sum((n - pos) * (tp - pos / 2)) / greatest(1, max(tp) * max(fp)))::double, 6) as auc, round((sum(pos * tp / (tp + fp)) / greatest(1, max(tp)))::double, 6) as average_precision from c")
+def _(spark, sf):
+    c = E.curve(labelled(spark, sf))
+    return c.select(r6("auc").alias("auc"), r6("average_precision").alias("average_precision"))
+
+
+@query("d25_bootstrap")
+def _(spark, sf):
+    q, _t, p, truth = scored(spark, sf)
+    ids = q.select(F.col("entity_id").alias("s1_id"))
+    a, b = (E.per_query(ids, truth, p.where(f"prob >= {x}")).select("s1_id", F.col("f05").alias(n)) for x, n in ((0.5, "a"), (0.3, "b")))
+    return E.bootstrap(a.join(b, "s1_id").withColumn("delta", F.col("b") - F.col("a")), "s1_id", "delta", 200)
+
+
+@query("d28_error_budget", SCORED + ", links as (select * from scored where prob >= 0.5), cand as (select * from scored where prob >= 0.2), j as (select coalesce(x.s1_id, l.s1_id) as s1_id, coalesce(x.target_id, l.target_id) as target_id, x.s1_id is not null as t, l.s1_id is not null as p from truth x full join links l on l.s1_id = x.s1_id and l.target_id = x.target_id) select case when t and p then 'found' when not t then 'false' when c.s1_id is null then 'missed_retrieval' else 'rejected' end as kind, count(*) as n from j left join cand c using (s1_id, target_id) group by 1")
+def _(spark, sf):
+    _q, _t, p, truth = scored(spark, sf)
+    return E.error_budget(truth, p.where("prob >= 0.2"), p.where("prob >= 0.5")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- E, F: ranks and top-k ------------------------------------------------------------------------
+
+FIELDS = PAGES + KEYED + ", js as (select p.*, jaro_winkler_similarity(lower(a.business_name), lower(b.business_name)) as ns, jaro_winkler_similarity(lower(a.business_address), lower(b.business_address)) as ads from pairs p join s1 a on a.entity_id = p.s1_id join t b using (target_id))"
+
+
+def field_scored(spark, sf):
+    q, t = pages(spark, sf)
+    return B.field_scores(B.hydrate(keyed(q, t), q, t))
+
+
+@query("h18_jaro_winkler", FIELDS + " select s1_id, target_id, round(ns, 6) as ns, round(ads, 6) as ads from js")
+def _(spark, sf):
+    return field_scored(spark, sf).select("s1_id", "target_id", r6("ns").alias("ns"), r6("ads").alias("ads"))
+
+
+@query("e2_two_rank_pool", FIELDS + ", r as (select *, row_number() over (partition by s1_id order by round(ns, 9) desc, target_id) as a, row_number() over (partition by s1_id order by round(ads, 9) desc, target_id) as b from js) select s1_id, target_id from r where a <= 3 or b <= 3")
+def _(spark, sf):
+    rows = field_scored(spark, sf)
+    return B.two_rank_pool(rows.withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9)), 3)
+
+
+@query("e3_joint_rank", FIELDS + ", r as (select *, row_number() over (partition by s1_id order by round(0.65 * greatest(ns, ads) + 0.35 * least(ns, ads), 9) desc, target_id) as rn from js) select s1_id, target_id, rn from r where rn <= 5")
+def _(spark, sf):
+    joint = F.round(0.65 * F.greatest("ns", "ads") + 0.35 * F.least("ns", "ads"), 9)
+    return B.best(field_scored(spark, sf).withColumn("joint", joint), "joint", 5).select("s1_id", "target_id", "rn")
+
+
+@query("e4_address_overlap", PAGES + f", a as (select entity_id as s1_id, country, {TOKENS.format('business_address', 2)} as l from s1), b as (select target_id, country, {TOKENS.format('business_address', 2)} as l from t), bt as (select target_id, country, len(l) as tl, unnest(l) as tok from b), df as (select country, tok from bt group by all having count(*) <= 30), n as (select s1_id, target_id, count(*) as n, max(ql) as ql, max(tl) as tl from (select s1_id, country, len(l) as ql, unnest(l) as tok from a) join (select * from bt semi join df using (country, tok)) using (country, tok) group by all), r as (select *, row_number() over (partition by s1_id order by n / greatest(1, least(ql, tl)) desc, n desc, target_id) as rn from n) select s1_id, target_id, n, rn from r where rn <= 50 and n >= 2")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    none = q.sparkSession.createDataFrame([], "s1_id string, target_id string, ads double")
+    return B.overlap_route(q, t, none, 30).select("s1_id", "target_id", "n", "rn")
+
+
+@query("e5_top_k", TOP + " select s1_id, target_id, rn from ranked where rn <= 4")
+def _(spark, sf):
+    return B.best(scored(spark, sf)[2], "prob", 4).select("s1_id", "target_id", "rn")
+
+
+@query("e7_hybrid_top_k", FIELDS + ", r as (select *, row_number() over (partition by s1_id order by round(ns, 9) desc, target_id) as a, row_number() over (partition by s1_id order by round(ads, 9) desc, target_id) as b from js) select s1_id, target_id from r where a <= 2 union select s1_id, target_id from r where b <= 2")
+def _(spark, sf):
+    rows = field_scored(spark, sf).withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9))
+    return B.union_routes(B.best(rows, "ns", 2).select("s1_id", "target_id"), B.best(rows, "ads", 2).select("s1_id", "target_id"))
+
+
+@query("f8_exact_knn", "with q as (select * from embeddings where vec_id % 100 = 0), s as (select q.vec_id, e.vec_id as other, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(q.embedding, lambda z: z::double * z::double)) * list_sum(list_transform(e.embedding, lambda z: z::double * z::double))) as c from q, embeddings e where q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by vec_id order by round(c, 9) desc, other) as rn from s) select vec_id, other, rn from r where rn <= 10")
+def _(spark, sf):
+    from matchloom.operators.vectors import nearest
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10)
+
+
+@query("f9_false_positives", LABELLED + " select s1_id, target_id, prob from labelled where not is_match order by prob desc, s1_id, target_id limit 40")
+def _(spark, sf):
+    return labelled(spark, sf).where("not is_match").orderBy(F.desc("prob"), "s1_id", "target_id").limit(40).select("s1_id", "target_id", "prob")
+
+
+@query("f10_hard_negatives")
+def _(spark, sf):
+    from matchloom.operators.model import hard_negatives
+
+    return hard_negatives(labelled(spark, sf), 3, 2).select("s1_id", "target_id", "is_match")
+
+
+# ---- G: set operations ------------------------------------------------------------------------------
+
+
+@query("g3_route_gain", PAGES + f", u as (select distinct 'core' as route, 0 as i, a.entity_id as s1_id, b.target_id from s1 a join t b on a.country = b.country and {core('a.business_name')} = {core('b.business_name')} where {core('a.business_name')} <> '' union all select distinct 'stem', 1, a.entity_id, b.target_id from s1 a join t b on a.country = b.country and {STEM.format('a.business_address')} = {STEM.format('b.business_address')} where {STEM.format('a.business_address')} <> ''), f as (select *, min(i) over (partition by s1_id, target_id) as first from u) select route, count(*) as pairs, count(*) filter (where i = first) as gain from f group by 1")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    stem = X.domain_stem(F.col("business_address"))
+    return B.route_gain({"core": keyed(q, t), "stem": B.key_route(q, t, stem, stem)})
+
+
+@query("g4_shared_names", DOCS + " select business_name from t where source = 'S2' intersect select business_name from t where source = 'S3'")
+def _(spark, sf):
+    t = docs(spark, sf)[1]
+    return t.where("source = 'S2'").select("business_name").intersect(t.where("source = 'S3'").select("business_name"))
+
+
+@query("g6_new_pairs", SCORED + " select s1_id, target_id from scored anti join (select * from scored where prob >= 0.5) b using (s1_id, target_id)")
+def _(spark, sf):
+    p = scored(spark, sf)[2]
+    return D.new_pairs(p, p.where("prob >= 0.5")).select("s1_id", "target_id")
+
+
+@query("g8_rank_fusion", FIELDS + ", a as (select s1_id, target_id, row_number() over (partition by s1_id order by round(ns, 9) desc, target_id) as rn from js union all select s1_id, target_id, row_number() over (partition by s1_id order by round(ads, 9) desc, target_id) from js), f as (select s1_id, target_id, round(sum(1.0::double / (10 + rn)), 9) as score from a group by all), r as (select *, row_number() over (partition by s1_id order by score desc, target_id) as rn from f) select s1_id, target_id, rn from r where rn <= 5")
+def _(spark, sf):
+    rows = field_scored(spark, sf).withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9))
+    ranks = [B.rank(rows, [F.desc(c), F.asc("target_id")]) for c in ("ns", "ads")]
+    return B.reciprocal_rank_fusion(ranks, 10, 5).select("s1_id", "target_id", "rn")
+
+
+@query("g9_quota_merge", FIELDS + ", r as (select *, row_number() over (partition by s1_id order by round(ns, 9) desc, target_id) as a, row_number() over (partition by s1_id order by round(ads, 9) desc, target_id) as b from js) select s1_id, target_id from r where a <= 3 or b <= 1")
+def _(spark, sf):
+    rows = field_scored(spark, sf).withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9))
+    rank = lambda c: B.rank(rows, [F.desc(c), F.asc("target_id")])
+    return B.quota_merge([(rank("ns"), 3), (rank("ads"), 1)])
+
+
+@query("g10_replace_part", SCORED + " select s1_id, target_id from scored where prob >= 0.5 and source <> 'S2' union select s1_id, target_id from scored where prob < 0.1")
+def _(spark, sf):
+    p = scored(spark, sf)[2]
+    return D.replace_part(p.where("prob >= 0.5"), p.where("source = 'S2'"), p.where("prob < 0.1"))
+
+
+@query("g12_delta", SCORED + " select s1_id, target_id, case when prob >= 0.5 then 'added' else 'removed' end as change from scored where (prob < 0.6) <> (prob >= 0.4 and source = 'S2' or prob >= 0.6 and prob < 0.8) and ((prob < 0.6) or (prob >= 0.6 and prob < 0.8))".replace("case when prob >= 0.5 then 'added' else 'removed' end", "case when prob < 0.6 then 'removed' else 'added' end"))
+def _(spark, sf):
+    p = scored(spark, sf)[2]
+    return D.delta(p.where("prob < 0.6"), p.where("prob >= 0.4 and source = 'S2' and prob < 0.6 or prob >= 0.6 and prob < 0.8"))
+
+
+# ---- H: scalar functions ------------------------------------------------------------------------------
+
+
+@query("h1_sql_normaliser", DOCS + f" select entity_id, {NORM.format('business_name')} as name, sha256({NORM.format('business_address')}) as address_sha from rec")
+def _(spark, sf):
+    return R.document_records(spark, sf).select("entity_id", X.norm(F.col("business_name")).alias("name"), F.sha2(X.norm(F.col("business_address")), 256).alias("address_sha"))
+
+
+@query("h3_core_key", DOCS + f" select entity_id, {core('business_name')} as core from rec")
+def _(spark, sf):
+    return R.document_records(spark, sf).select("entity_id", X.core_key(F.col("business_name")).alias("core"))
+
+
+@query("h2_unicode_normalisers")
+def _(spark, sf):
+    n = F.col("business_name")
+    return R.document_records(spark, sf).select("entity_id", X.normalize(n).alias("normalized"), X.core(n).alias("core"), X.fold(n).alias("fold"), X.ascii_normalize(n).alias("latin"), X.char_norm(n).alias("chars"))
+
+
+@query("h5_accent_key", DOCS + f" select entity_id, strip_accents({core('business_name')}) as accent_key from rec")
+def _(spark, sf):
+    return R.document_records(spark, sf).select("entity_id", X.accent_key(X.core_key(F.col("business_name"))).alias("accent_key"))
+
+
+@query("h8_numbers", DOCS + f" select entity_id, array_to_string(list_sort({NUMBERS.format('business_address')}), ',') as numbers, coalesce(try_cast(regexp_extract(business_address, '([0-9]+)', 1) as bigint), -1) as first_number from rec")
+def _(spark, sf):
+    a = F.col("business_address")
+    return R.document_records(spark, sf).select("entity_id", R.encode_list(X.address_numbers(a)).alias("numbers"), X.first_number(a).alias("first_number"))
+
+
+@query("h14_scripts", DOCS + r" select entity_id, regexp_matches(business_name, '\p{Latin}') as latin, regexp_matches(business_name, '[^\x00-\x7F]') as non_ascii from rec")
+def _(spark, sf):
+    n = F.col("business_name")
+    return R.document_records(spark, sf).select("entity_id", X.scripts(n).contains("Latin").alias("latin"), X.non_ascii(n).alias("non_ascii"))
+
+
+@query("h16_domain_stem", f"select page_id, {STEM.format('url')} as stem from pages")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", X.domain_stem(F.col("url")).alias("stem"))
+
+
+@query("h20_ratio_family")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    h = B.hydrate(keyed(q, t), q, t)
+    return h.select("s1_id", "target_id", *[r6(f("q_address", "t_address")).alias(n) for n, f in (("ratio", S.ratio), ("token_sort", S.token_sort_ratio), ("token_set", S.token_set_ratio), ("partial", S.partial_ratio))])
+
+
+@query("h22_containment", PAGES + KEYED + f", x as (select p.*, {TOKENS.format('a.business_address', 2)} as u, {TOKENS.format('b.business_address', 2)} as v from pairs p join s1 a on a.entity_id = p.s1_id join t b using (target_id)) select s1_id, target_id, round(len(list_intersect(u, v)) / greatest(1, least(len(u), len(v))), 6) as containment from x")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    h = B.hydrate(keyed(q, t), q, t)
+    tok = lambda c: X.tokens(F.col(c), 2)
+    return h.select("s1_id", "target_id", r6(S.containment(tok("q_address"), tok("t_address"))).alias("containment"))
+
+
+@query("h23_trigram_jaccard", PAGES + KEYED + ", g as (select p.*, replace(a.business_address, ' ', '') as x, replace(b.business_address, ' ', '') as y from pairs p join s1 a on a.entity_id = p.s1_id join t b using (target_id)), s as (select *, case when length(x) < 3 then [x] else list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) end as u, case when length(y) < 3 then [y] else list_distinct(list_transform(range(1, length(y) - 1), lambda i: substr(y, i, 3))) end as v from g) select s1_id, target_id, round(len(list_intersect(u, v)) / greatest(1, len(u) + len(v) - len(list_intersect(u, v))), 6) as jaccard from s")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    h = B.hydrate(keyed(q, t), q, t)
+    return h.select("s1_id", "target_id", r6(S.jaccard(X.trigram_set(F.col("q_address")), X.trigram_set(F.col("t_address")))).alias("jaccard"))
+
+
+@query("h25_log_frequency", POSTED + " select country, tok, round(ln(1 + df), 6) as log_df from df")
+def _(spark, sf):
+    return B.frequencies(B.postings(docs(spark, sf)[1], "target_id", F.col("business_address"))).select("country", "tok", r6(F.log1p("df")).alias("log_df"))
+
+
+@query("h26_token_grams", PAGES + f", w as (select entity_id, unnest(list_filter(string_split({NORM.format('business_name')}, ' '), lambda x: length(x) >= 3)) as tok from rec), g as (select distinct entity_id, unnest(list_transform(range(1, length(tok) - 1), lambda i: substr(tok, i, 3))) as gram from w) select entity_id, count(*) as grams from g group by 1")
+def _(spark, sf):
+    return R.page_records(spark, sf).select("entity_id", F.size(X.token_grams(F.col("business_name"), 3)).cast("long").alias("grams")).where("grams > 0")
+
+
+@query("h29_split_hash")
+def _(spark, sf):
+    q = docs(spark, sf)[0]
+    return q.select("entity_id", X.split_of("2024", F.col("entity_id")).alias("split"))
+
+
+@query("h30_calibration_fold", DOCS + " select entity_id, cast(split_part(entity_id, '-', 2) as bigint) % 10 = 0 as fold from s1")
+def _(spark, sf):
+    return docs(spark, sf)[0].select("entity_id", X.calibration_fold(F.col("entity_id")).alias("fold"))
+
+
+@query("h36_cosine", "with a as (select vec_id, embedding, lead(embedding) over (order by vec_id) as nxt from embeddings) select a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(a.embedding, lambda z: z::double * z::double)) * list_sum(list_transform(b.embedding, lambda z: z::double * z::double))), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    a = spark.read.parquet(f"{sf}/embeddings.parquet")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", r6(S.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
+
+
+# ---- I: TF-IDF --------------------------------------------------------------------------------------------
+
+KEYS = PAGES + ", tk as (select business_address as raw, list_sort(list(target_id)) as ids from t group by 1), qk as (select business_address as raw, list_sort(list(entity_id)) as ids from s1 group by 1)"
+WORDS = f"list_filter(string_split({NORM.format('raw')}, ' '), lambda x: x <> '')"
+TERMS = f"list_concat({WORDS}, list_transform(range(1, greatest(len({WORDS}), 1)), lambda i: {WORDS}[i] || ' ' || {WORDS}[i + 1]))"
+TFIDF = KEYS + f", tc as (select raw, term, count(*) as tf from (select raw, unnest({TERMS}) as term from tk) group by all), qc as (select raw, term, count(*) as tf from (select raw, unnest({TERMS}) as term from qk) group by all), n as (select count(*) as n from tk), v as (select term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 as idf from tc, n group by term having count(*) >= 2 and count(*) <= 0.8 * any_value(n)), tw as (select raw, term, (1 + ln(tf)) * idf as w from tc join v using (term)), qw as (select raw, term, (1 + ln(tf)) * idf as w from qc join v using (term)), tn as (select raw, term, w / sqrt(sum(w * w) over (partition by raw)) as w from tw), qn as (select raw, term, w / sqrt(sum(w * w) over (partition by raw)) as w from qw)"
+
+
+@query("i4_tfidf_weights", TFIDF + " select md5(raw) as key, term, round(w, 6) as w from tn")
+def _(spark, sf):
+    t = pages(spark, sf)[1]
+    keys = TI.dictionary(t, "business_address", "target_id")
+    counts = TI.term_counts(keys, TI.word_terms(F.col("raw")))
+    return TI.weights(counts, TI.vocabulary(counts, keys.agg(F.count(F.lit(1)).alias("n")))).select("key", "term", r6("w").alias("w"))
+
+
+@query("i6_word_tfidf_route", TFIDF + ", c as (select q.raw as q, t.raw as t, round(sum(q.w * t.w), 9) as c from qn q join tn t using (term) group by all), r as (select *, row_number() over (partition by q order by c desc, md5(t)) as rk from c), x as (select unnest(qk.ids) as s1_id, rk, tk.ids as tids from r join qk on qk.raw = r.q join tk on tk.raw = r.t where rk <= 10), y as (select s1_id, rk, unnest(tids) as target_id, unnest(range(len(tids))) as pos from x), z as (select *, row_number() over (partition by s1_id order by rk, pos) as rn from y) select s1_id, target_id, rn from z where rn <= 10")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    q = q.withColumnRenamed("entity_id", "s1_id")
+    tk, qk = TI.dictionary(t, "business_address", "target_id"), TI.dictionary(q, "business_address", "s1_id")
+    tc, qc = (TI.term_counts(k, TI.word_terms(F.col("raw"))) for k in (tk, qk))
+    v = TI.vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")))
+    c = TI.cosines(TI.weights(qc, v), TI.weights(tc, v)).withColumn("cosine", F.round("cosine", 9))
+    return TI.expand(TI.top(c, 10), qk, tk, 10).select("s1_id", "target_id", "rn")
+
+
+@query("i3_char_tfidf_route")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    q, t = (x.withColumn("chars", X.char_norm(F.col("business_name"))) for x in (q.withColumnRenamed("entity_id", "s1_id"), t))
+    return TI.retrieve(q.where("chars <> ''"), t.where("chars <> ''"), "chars", lambda c: TI.char_terms(c, 3, 4), 5, most=120_000).select("s1_id", "target_id", "rn")
+
+
+@query("i7_shortlist_rerank")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    q = q.withColumnRenamed("entity_id", "s1_id")
+    tk, qk = TI.dictionary(t, "business_address", "target_id"), TI.dictionary(q, "business_address", "s1_id")
+    tc, qc = (TI.term_counts(k, TI.char_terms(X.norm(F.col("raw")))) for k in (tk, qk))
+    v = TI.vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), most=120_000)
+    return TI.expand(TI.shortlist(TI.weights(qc, v), TI.weights(tc, v), 16, 300, 100), qk, tk, 10).select("s1_id", "target_id", "rn")
+
+
+@query("c19_reverse_retrieval")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    found = TI.retrieve(t.withColumnRenamed("target_id", "s1_id"), q.withColumnRenamed("entity_id", "target_id"), "business_name", TI.word_terms, 3)
+    return found.select(F.col("target_id").alias("s1_id"), F.col("s1_id").alias("target_id"), "rn")
+
+
+# ---- J: features, learning ------------------------------------------------------------------------------------
+
+
+@query("j3_pair_features")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    f = FT.featurise(B.hydrate(keyed(q, t), q, t))
+    return f.select("s1_id", "target_id", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(FT.SETS["latin"])])
+
+
+@query("j16_two_stage_scores")
+def _(spark, sf):
+    from matchloom.operators import model as M
+
+    q, t = pages(spark, sf)
+    f = FT.featurise(B.hydrate(keyed(q, t), q, t)).join(labelled(spark, sf).select("s1_id", "target_id", "is_match"), ["s1_id", "target_id"])
+    f = f.withColumn("is_validation", X.calibration_fold(F.col("s1_id")))
+    blocker, matcher = M.train(f, "base", 5, 3), M.train(f, "latin", 5, 3)
+    return M.two_stage(f, blocker, matcher).select("s1_id", "target_id", F.round("select_prob", 4).alias("prob"))
+
+
+@query("j19_threshold_sweep", LABELLED + ", g as (select * from labelled, (values (0.25::double), (0.5::double), (0.75::double)) v(threshold)), n as (select country, threshold, count(*) filter (where prob >= threshold and is_match) as tp, count(*) filter (where prob >= threshold and not is_match) as fp, count(*) filter (where prob < threshold and is_match) as fn from g group by all) select country, threshold, tp, fp, fn, round(case when tp + fn = 0 then case when fp = 0 then 1.0 else 0.0 end else 1.25 * tp / (1.25 * tp + fp + 0.25 * fn) end::double, 6) as f05 from n")
+def _(spark, sf):
+    return E.threshold_sweep(labelled(spark, sf), [0.25, 0.5, 0.75], "country").withColumn("f05", r6("f05"))
+
+
+# ---- K: decisions ------------------------------------------------------------------------------------------------
+
+
+@query("k1_cap", TOP + " select s1_id, target_id, prob from ranked where rn <= 11")
+def _(spark, sf):
+    return D.cap(scored(spark, sf)[2]).select("s1_id", "target_id", "prob")
+
+
+@query("k2_exclusive_owner", SCORED + ", r as (select *, row_number() over (partition by target_id order by prob desc, s1_id) as rn from scored) select s1_id, target_id, prob from r where rn = 1")
+def _(spark, sf):
+    return D.exclusive(scored(spark, sf)[2]).select("s1_id", "target_id", "prob")
+
+
+@query("k3_nearby_number_veto", SCORED + f", x as (select *, {NUM('s1_id')} % 20 as q_num, {NUM('target_id')} % 20 as t_num from scored), a as (select *, max((q_num = t_num)::int) over (partition by s1_id) as anchored from x) select s1_id, target_id from a where not (country = 'en' and anchored = 1 and abs(q_num - t_num) between 1 and 10)")
+def _(spark, sf):
+    n = lambda c: F.element_at(F.split(c, "-"), -1).cast("bigint") % 20
+    rows = scored(spark, sf)[2].withColumn("q_num", n("s1_id")).withColumn("t_num", n("target_id"))
+    return D.nearby_number_veto(rows, "en").select("s1_id", "target_id")
+
+
+@query("k11_decide", SCORED + ", a as (select * from scored where prob >= case country when 'en' then 0.4 when 'fr' then 0.6 else 0.5 end), c as (select *, row_number() over (partition by s1_id order by prob desc, target_id) as rn from a), o as (select *, row_number() over (partition by target_id order by prob desc, s1_id) as own from c where rn <= 5) select s1_id, target_id, prob from o where own = 1")
+def _(spark, sf):
+    p = scored(spark, sf)[2].drop("t_address")
+    return D.decide(p, COUNTRY_LIMITS, 0.5, 5).select("s1_id", "target_id", "prob")
+
+
+@query("k13_incremental_merge", SCORED + " select s1_id, target_id, prob from scored where source = 'S2' and prob >= 0.7 union all select s1_id, target_id, prob from scored where prob >= 0.5 and not (source = 'S2' and prob >= 0.7)")
+def _(spark, sf):
+    p = scored(spark, sf)[2]
+    return D.merge_links(p.where("source = 'S2' and prob >= 0.7"), p, {}, 0.5)
+
+
+@query("k14_validate", SCORED + ", m as (select * from scored where prob >= 0.5) select (select count(*) from s1) as n_rows, (select count(*) from scored) as candidates, (select count(*) from m) as matches, (select count(*) from s1 anti join m on m.s1_id = s1.entity_id) as empty, 0::bigint as row_faults, 0::bigint as repeated, 0::bigint as bad_prefix, 0::bigint as not_candidates")
+def _(spark, sf):
+    q, _t, p, _truth = scored(spark, sf)
+    return D.validate(q, R.list_rows(q, p), R.list_rows(q, p.where("prob >= 0.5"), "matched_entity_ids"))
+
+
+@query("k15_cap_sweep", TOP + ", c as (select r.*, x.target_id is not null as hit, cap::int as cap from ranked r left join truth x using (s1_id, target_id), (values (1), (5), (11), (50)) v(cap) where rn <= cap) select cap, count(*) as links, count(*) filter (where hit) as true_links from c group by 1")
+def _(spark, sf):
+    _q, _t, p, truth = scored(spark, sf)
+    return D.caps_sweep(p, truth, [1, 5, 11, 50])
+
+
+@query("k10_rescue_grid", LABELLED + " select least_prob, count(*) as pairs, count(*) filter (where is_match) as matches from labelled, (values (0.2::double), (0.6::double)) v(least_prob) where prob >= least_prob group by 1")
+def _(spark, sf):
+    return D.rule_grid(labelled(spark, sf), {"prob": [0.2, 0.6]})
+
+
+# ---- L: audits --------------------------------------------------------------------------------------------------------
+
+
+@query("l15_label_integrity", SCORED + " select count(*) as links, count(*) filter (where a.entity_id is null) as missing_s1, count(*) filter (where b.target_id is null) as missing_target, count(*) filter (where a.country <> b.country) as cross_country, count(x.target_id) - count(distinct x.target_id) as reused_targets from truth x left join s1 a on a.entity_id = x.s1_id left join t b on b.target_id = x.target_id")
+def _(spark, sf):
+    q, t, _p, truth = scored(spark, sf)
+    return E.label_integrity(truth, q, t)
+
+
+@query("l4_route_benchmark", SCORED + ", m as (select s1_id, count(*) as n from scored group by 1) select (select count(*) from scored) as pairs, (select count(*) from scored semi join truth using (s1_id, target_id)) as true_pairs, (select max(n) from m) as largest")
+def _(spark, sf):
+    _q, _t, p, truth = scored(spark, sf)
+    n = p.join(truth.withColumn("hit", F.lit(1)), ["s1_id", "target_id"], "left").groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("h"))
+    return n.agg(F.sum("n").alias("pairs"), F.sum("h").alias("true_pairs"), F.max("n").alias("largest"))
+
+
+@query("l3_country_slices", METRIC + " select s1.country, count(*) as queries, round(avg(f05), 6) as macro_f05 from f join s1 on s1.entity_id = f.s1_id group by 1")
+def _(spark, sf):
+    q, _t, p, truth = scored(spark, sf)
+    ids = q.select(F.col("entity_id").alias("s1_id"), "country")
+    return E.macro(E.per_query(ids.select("s1_id"), truth, p.where("prob >= 0.5")).join(ids, "s1_id"), "country").select("country", "queries", r6("macro_f05").alias("macro_f05"))
+
+
+@query("l13_field_profile", DOCS + " select country, count(*) as n, count(*) filter (where business_address = '') as blank, max(length(business_name))::bigint as longest_name, count(distinct business_name) as names from rec group by 1")
+def _(spark, sf):
+    return R.document_records(spark, sf).groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("business_address") == "").alias("blank"), F.max(F.length("business_name")).cast("long").alias("longest_name"), F.count_distinct("business_name").alias("names"))
+
+
+@query("l17_output_tails", SCORED + ", n as (select s1.country, s1.entity_id, count(x.target_id) as n from s1 left join scored x on x.s1_id = s1.entity_id group by all) select country, count(*) filter (where n > 11) as over_11, max(n) as largest, round(quantile_cont(n, 0.95), 6) as p95 from n group by 1")
+def _(spark, sf):
+    q, _t, p, _truth = scored(spark, sf)
+    n = q.select(F.col("entity_id").alias("s1_id"), "country").join(p.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")), "s1_id", "left").fillna(0, ["n"])
+    return n.groupBy("country").agg(F.count_if(F.col("n") > 11).alias("over_11"), F.max("n").alias("largest"), r6(F.percentile("n", F.lit(0.95))).alias("p95"))
+
+
+@query("l18_equivalence", "select cast(null as varchar) as s1_id, cast(null as varchar) as target_id, cast(null as varchar) as change where false")
+def _(spark, sf):
+    q, t = pages(spark, sf)
+    return D.delta(keyed(q, t), keyed(q.repartition(5), t.repartition(3)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

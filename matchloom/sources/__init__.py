@@ -1 +1 @@
-
+"""Readers, writers and adapters of record tables."""

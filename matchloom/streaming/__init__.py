@@ -1 +1 @@
-
+"""Incremental matching of arriving records."""
