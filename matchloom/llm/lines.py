@@ -62,11 +62,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = repeated_runs(docs, id_col, text_col, min_lines).where(F.struct("doc_id", "__key", "pos") > F.col("first"))
     gone = copies.select("doc_id", "__key", F.explode(F.array(*[F.col("pos") + i for i in range(min_lines)])).alias("pos")).groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
-    keyed = docs.withColumn("__key", text_key(text_col))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__key"]), "left").drop(gone["__key"])
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_without(lines, F.col("__gone")))
-    made = joined.select(*[kept.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("__n_deleted"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
+    joined = keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__key"]), "left")
+    text = F.col("__row")[text_col]
+    lines = F.split(text, "\n")
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(_without(lines, F.col("__gone")))
+    made = joined.select(*[(kept if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("__n_deleted"))
     return made
 
 

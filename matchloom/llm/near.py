@@ -75,7 +75,6 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _gram_sets(wanted: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            # what else the rows carry goes along as it is
             sets = [gram_set(word_hashes(t), n).view(np.int64) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "copies", "bands")), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "copies", "bands", "set"])
 
@@ -230,8 +229,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     j = _joined(docs, id_col, text_col, n, threshold, recall)
     same = F.expr("doc_id <=> head.doc_id and __key = head.__key")
     gone = j.where(F.col("ka").isNotNull() & ~same).select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__gone")).distinct()
-    keyed = docs.withColumn("__key", text_key(text_col))
-    return keyed.join(gone, keyed[id_col].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__gone"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
+    return keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__gone"]), "left_anti").select("__row.*")
 
 
 def brute_force(rows: list[tuple], n: int = 5, threshold: float = 0.8) -> list[tuple]:

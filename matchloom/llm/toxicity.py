@@ -111,53 +111,50 @@ def label_model(votes: np.ndarray, count: np.ndarray, known: np.ndarray | None =
     """Posterior of the positive class for each pattern of votes, the voters' rates and their dependencies.
 
     ``votes`` is patterns x voters, 0 or 1, with ``count`` rows each. The class is latent but where
-    ``known`` isn't -1: those rows anchor the rates. First voters fire independently given it; then each depends on one other as well, along the tree of
-    greatest conditional mutual information, so that voters that agree for reasons other than the
-    class don't count twice. Both are fitted by expectation maximisation.
+    ``known`` isn't -1: those rows anchor the rates. Each voter depends on the class and on one
+    other voter, along the tree of greatest mutual information given the class, so that voters that
+    agree for other reasons don't count twice. For a pair's information the other voters stand for
+    the class. Rates and posteriors are fitted by expectation maximisation.
     """
     n, k = votes.shape
     share = np.maximum(count / max(count.sum(), 1), 0)
     known = np.full(n, -1) if known is None else known
-    q = np.where(votes.any(1), 0.95, 0.001)
+    fired = votes.sum(1)
+    guess = lambda f: np.where(known >= 0, known, np.choose(np.minimum(f, 2), [0.01, 0.6, 0.97]))
     parent = np.full(k, -1)
-    links: list[tuple[int, int, float]] = []
-    rates = np.zeros((k, 2, 2))
-    for stage in range(2):
-        for _ in range(turns):
-            given = np.where(known < 0, q, known)
-            by_class = np.stack([share * (1 - given), share * given])
-            prior = (by_class.sum(1) + 1e-6) / (by_class.sum() + 2e-6)
-            logp = np.log(prior)[:, None] + np.zeros((2, n))
-            for j in range(k):
-                up = votes[:, parent[j]] if parent[j] >= 0 else np.zeros(n, np.int64)
-                for y in range(2):
-                    for u in range(2):
-                        w = by_class[y] * (up == u)
-                        rates[j, y, u] = (w @ votes[:, j] + (1e-5 if y == 0 else 5e-5)) / (w.sum() + 1e-4)
-                    r = np.clip(rates[j, y][up], 1e-6, 1 - 1e-6)
-                    logp[y] += np.where(votes[:, j] == 1, np.log(r), np.log1p(-r))
-            new = 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -500, 500)))
-            if np.abs(new - q).max() < 1e-7:
-                break
-            q = new
-        if stage == 0:
-            given = np.where(known < 0, q, known)
-            by_class = np.stack([share * (1 - given), share * given]) + 1e-15
-            info = np.zeros((k, k))
-            for a in range(k):
-                for b in range(a):
-                    for y in range(2):
-                        joint = np.array([[by_class[y] @ ((votes[:, a] == u) & (votes[:, b] == v)) + 1e-12 for v in range(2)] for u in range(2)])
-                        own = joint.sum()
-                        info[a, b] += (joint * np.log(joint * own / np.outer(joint.sum(1), joint.sum(0)))).sum()
-                    info[b, a] = info[a, b]
-            inside = [0] if k else []
-            while len(inside) < k:
-                out = [j for j in range(k) if j not in inside]
-                a, b = max(((i, j) for i in inside for j in out), key=lambda x: info[x])
-                parent[b] = a
-                links.append((a, b, float(info[a, b])))
-                inside.append(b)
+    info, links = np.zeros((k, k)), []
+    for a in range(k):
+        for b in range(a):
+            q = guess(fired - votes[:, a] - votes[:, b])
+            for y in (share * (1 - q), share * q):
+                joint = np.array([[y @ ((votes[:, a] == u) & (votes[:, b] == v)) + 1e-12 for v in range(2)] for u in range(2)])
+                info[a, b] += (joint * np.log(joint * joint.sum() / np.outer(joint.sum(1), joint.sum(0)))).sum()
+            info[b, a] = info[a, b]
+    inside = [0] if k else []
+    while len(inside) < k:
+        a, b = max(((i, j) for i in inside for j in range(k) if j not in inside), key=lambda x: info[x])
+        parent[b] = a
+        links.append((a, b, float(info[a, b])))
+        inside.append(b)
+    q, rates = guess(fired), np.zeros((k, 2, 2))
+    for _ in range(turns):
+        given = np.where(known < 0, q, known)
+        by_class = np.stack([share * (1 - given), share * given])
+        prior = (by_class.sum(1) + 1e-6) / (by_class.sum() + 2e-6)
+        logp = np.log(prior)[:, None] + np.zeros((2, n))
+        for j in range(k):
+            up = votes[:, parent[j]] if parent[j] >= 0 else np.zeros(n, np.int64)
+            for y in range(2):
+                for u in range(2):
+                    w = by_class[y] * (up == u)
+                    rates[j, y, u] = (w @ votes[:, j] + (1e-5 if y == 0 else 5e-5)) / (w.sum() + 1e-4)
+                r = np.clip(rates[j, y][up], 1e-6, 1 - 1e-6)
+                logp[y] += np.where(votes[:, j] == 1, np.log(r), np.log1p(-r))
+        new = 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -500, 500)))
+        done = np.abs(new - q).max(initial=0) < 1e-7
+        q = new
+        if done:
+            break
     return q, rates, links
 
 
