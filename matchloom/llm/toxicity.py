@@ -113,20 +113,22 @@ def label_model(votes: np.ndarray, count: np.ndarray, known: np.ndarray | None =
     ``votes`` is patterns x voters, 0 or 1, with ``count`` rows each. The class is latent but where
     ``known`` isn't -1: those rows anchor the rates. Each voter depends on the class and on one
     other voter, along the tree of greatest mutual information given the class, so that voters that
-    agree for other reasons don't count twice. For a pair's information the other voters stand for
-    the class. Rates and posteriors are fitted by expectation maximisation.
+    agree for other reasons don't count twice. That information is taken from the known rows where
+    there are enough; else the other voters stand for the class of a pair. Rates and posteriors are fitted by expectation maximisation.
     """
     n, k = votes.shape
     share = np.maximum(count / max(count.sum(), 1), 0)
     known = np.full(n, -1) if known is None else known
     fired = votes.sum(1)
     guess = lambda f: np.where(known >= 0, known, np.choose(np.minimum(f, 2), [0.01, 0.6, 0.97]))
+    anchored = count[known == 1].sum() >= 50 and count[known == 0].sum() >= 50
+    seen = np.where(known >= 0, share, 0.0) if anchored else share
     parent = np.full(k, -1)
     info, links = np.zeros((k, k)), []
     for a in range(k):
         for b in range(a):
             q = guess(fired - votes[:, a] - votes[:, b])
-            for y in (share * (1 - q), share * q):
+            for y in (seen * (1 - q), seen * q):
                 joint = np.array([[y @ ((votes[:, a] == u) & (votes[:, b] == v)) + 1e-12 for v in range(2)] for u in range(2)])
                 info[a, b] += (joint * np.log(joint * joint.sum() / np.outer(joint.sum(1), joint.sum(0)))).sum()
             info[b, a] = info[a, b]
