@@ -31,7 +31,7 @@ PATTERNS = {
 #: Lexicon voters mined from labelled rows: their number and the most entries of all of them.
 MINED, MOST_TERMS = 10, 4096
 #: Of a mined term: the least lower limit of its log odds ratio, share of toxic rows among its rows, and share of the toxic rows.
-LEAST_ODDS, PURITY, COVERAGE = 0.9, 0.8, 0.01
+LEAST_ODDS, PURITY, COVERAGE = 0.5, 0.8, 0.01
 #: Labelled rows that terms are mined from and the classifier is trained on, at most.
 MOST_ROWS = 20_000
 WORDS = re.compile(r"[^\W\d_]+")
