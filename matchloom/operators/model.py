@@ -30,9 +30,13 @@ def hard_negatives(scored: DataFrame, hard: int = 20, random: int = 5) -> DataFr
 
 
 def train(pairs: DataFrame, kind: str = "latin", trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 7) -> PipelineModel:
-    """Boosted trees on ``features``; rows with ``is_validation`` stop them early."""
+    """Boosted trees on ``features``; rows with ``is_validation`` stop them early, where there are both kinds of rows."""
     rows = pairs.select(array_to_vector(F.slice("features", 1, len(SETS[kind])).cast("array<double>")).alias("vector"), F.col("is_match").cast("double").alias("label"), F.col("is_validation"))
-    return Pipeline(stages=[GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, validationIndicatorCol="is_validation")]).fit(rows)
+    learner = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    kinds = {r["is_validation"] for r in rows.select("is_validation").distinct().collect()}
+    if kinds == {True, False}:
+        learner = learner.setValidationIndicatorCol("is_validation")
+    return Pipeline(stages=[learner]).fit(rows)
 
 
 def predict(model: PipelineModel, pairs: DataFrame, kind: str = "latin", name: str = "prob") -> DataFrame:
