@@ -17,7 +17,7 @@ KEY_BITS, COUNT_BITS = 22, 10
 #: Names at least this frequent in a 64th of the documents, at most so many, are each dealt to this many parts.
 HOT_IN_SAMPLE, MOST_HOT, SALTS = 32, 1024, 64
 #: Words that one call of the kernel takes at least, where that many are there.
-KERNEL_WORDS = 2_000_000
+KERNEL_WORDS = 400_000
 
 
 def _place(first, key, count):

@@ -69,7 +69,7 @@ class Reader:
 
     def terms_in(self, text: str) -> set[int]:
         out: set[int] = set()
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, terms = self.known, self.terms
         for w in set(WORDS.findall(text.lower())):
