@@ -92,8 +92,10 @@ def _mined(sample: DataFrame) -> dict[str, float]:
 
     def run(batches):
         for pdf in batches:
-            found = [list({t for w in set(WORDS.findall(x.lower())) for t in terms_of_word(w) if len(t) <= 40}) for x in pdf["__text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "term": found})
+            for at in range(0, len(pdf), 100):  # terms take many times their text's memory
+                part = pdf.iloc[at : at + 100]
+                found = [list({t for w in set(WORDS.findall(x.lower())) for t in terms_of_word(w) if len(t) <= 40}) for x in part["__text"]]
+                yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "term": found})
 
     counted = sample.mapInPandas(run, "toxic int, term array<string>").select("toxic", F.explode("term").alias("term"))
     counted = counted.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).where("pos >= 5")
