@@ -16,7 +16,6 @@ from matchloom.plans.registry import DOCS, FIELDS, KEYS, LABELLED, METRIC, NORM,
 from matchloom.sources import records as R
 
 number = lambda c: F.element_at(F.split(c, "-"), -1).cast("bigint")
-count = F.count(F.lit(1))
 
 
 @query("b2_country_partition", DOCS + " select entity_id, business_name from rec where country = 'fr'")
@@ -46,7 +45,7 @@ def _(spark, sf):
 @query("c7_blank_frequency_join", DOCS + f", k as (select *, {core('business_name')} as ck from t), f as (select country, ck, count(*) as df from k group by all) select target_id, case when business_address = '' then df end as df from k left join f using (country, ck)")
 def _(spark, sf):
     k = docs(spark, sf)[1].select("target_id", "country", "business_address", X.core_key(F.col("business_name")).alias("ck"))
-    f = k.groupBy("country", "ck").agg(count.alias("df"))
+    f = k.groupBy("country", "ck").agg(F.count(F.lit(1)).alias("df"))
     return k.join(f, ["country", "ck"], "left").select("target_id", F.when(F.col("business_address") == "", F.col("df")).alias("df"))
 
 
@@ -66,7 +65,7 @@ def _(spark, sf):
 @query("c20_validated_merge", SCORED + " select count(*) - count(distinct (s1_id, target_id)) as repeated from scored")
 def _(spark, sf):
     p = scored(spark, sf)[2]
-    return p.agg((count - F.count_distinct(F.struct("s1_id", "target_id"))).alias("repeated"))
+    return p.agg((F.count(F.lit(1)) - F.count_distinct(F.struct("s1_id", "target_id"))).alias("repeated"))
 
 
 @query("c22_in_lookup", SCORED + " select entity_id, business_name from s1 where entity_id in (select s1_id from scored where prob >= 0.9)")
@@ -77,7 +76,7 @@ def _(spark, sf):
 
 @query("d4_core_frequency", PAGES + f", k as (select country, {core('business_name')} as ck from t) select country, ck, count(*) as df from k group by all")
 def _(spark, sf):
-    return pages(spark, sf)[1].select("country", X.core_key(F.col("business_name")).alias("ck")).groupBy("country", "ck").agg(count.alias("df"))
+    return pages(spark, sf)[1].select("country", X.core_key(F.col("business_name")).alias("ck")).groupBy("country", "ck").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("d13_slice_hits", METRIC + ", sl as (select entity_id as s1_id, unnest(list_filter(['all', country, case when regexp_matches(business_name, '[^\\x00-\\x7F]') then 'non_ascii' end], lambda x: x is not null)) as slice from s1) select slice, sum(tp)::bigint as hits, sum(tp + fn)::bigint as total from f join sl using (s1_id) group by 1")
@@ -99,7 +98,7 @@ def _(spark, sf):
 @query("d26_propagation_oracle", SCORED + ", n as (select x.s1_id, count(*) as total, count(k.target_id) as anchors from truth x left join (select * from scored where prob >= 0.5) k using (s1_id, target_id) group by 1) select round(1 - sum(case when anchors = 0 then total else 0 end) / sum(total), 6) as reachable from n")
 def _(spark, sf):
     _q, _t, p, truth = scored(spark, sf)
-    n = truth.join(p.where("prob >= 0.5").select("s1_id", "target_id", F.lit(1).alias("k")), ["s1_id", "target_id"], "left").groupBy("s1_id").agg(count.alias("total"), F.count("k").alias("anchors"))
+    n = truth.join(p.where("prob >= 0.5").select("s1_id", "target_id", F.lit(1).alias("k")), ["s1_id", "target_id"], "left").groupBy("s1_id").agg(F.count(F.lit(1)).alias("total"), F.count("k").alias("anchors"))
     return n.agg(r6(1 - F.sum(F.when(F.col("anchors") == 0, F.col("total")).otherwise(0)) / F.sum("total")).alias("reachable"))
 
 
@@ -121,7 +120,7 @@ def _(spark, sf):
     t = pages(spark, sf)[1]
     keys = TI.dictionary(t, "business_address", "target_id")
     counts = TI.term_counts(keys, TI.word_terms(F.col("raw")))
-    w = TI.weights(counts, TI.vocabulary(counts, keys.agg(count.alias("n"))))
+    w = TI.weights(counts, TI.vocabulary(counts, keys.agg(F.count(F.lit(1)).alias("n"))))
     return TI.strongest(w.withColumn("w", F.round("w", 9)), 4).select("key", "term")
 
 
@@ -189,7 +188,7 @@ def _(spark, sf):
 @query("i2_word_terms", KEYS + f", c as (select raw, unnest({TERMS}) as term from tk) select term, count(*) as cf, count(distinct raw) as df from c group by 1")
 def _(spark, sf):
     keys = TI.dictionary(pages(spark, sf)[1], "business_address", "target_id")
-    return TI.term_counts(keys, TI.word_terms(F.col("raw"))).groupBy("term").agg(F.sum("tf").alias("cf"), count.alias("df"))
+    return TI.term_counts(keys, TI.word_terms(F.col("raw"))).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 @query("i9_combined_field_route")
@@ -209,7 +208,7 @@ def _(spark, sf):
     q, t = pages(spark, sf)
     t = t.withColumn("business_address", F.when(number("target_id") % 2 == 0, "").otherwise(F.col("business_address")))
     ck = t.select("target_id", "country", X.core_key(F.col("business_name")).alias("ck"))
-    df = ck.join(ck.groupBy("country", "ck").agg(count.alias("df")), ["country", "ck"]).select("target_id", "df")
+    df = ck.join(ck.groupBy("country", "ck").agg(F.count(F.lit(1)).alias("df")), ["country", "ck"]).select("target_id", "df")
     made = FT.featurise(B.hydrate(keyed(q, t), q, t).where("t_address = ''").join(df, "target_id"), "blank")
     return made.select("s1_id", "target_id", F.size("features").alias("n"), r6(F.element_at("features", -1)).alias("log_target_core_frequency"))
 
@@ -218,7 +217,7 @@ def _(spark, sf):
 def _(spark, sf):
     g = Window.partitionBy("s1_id")
     p = B.rank(scored(spark, sf)[2], [F.desc("prob"), F.asc("target_id")])
-    return p.select("s1_id", "target_id", "prob", "rn", count.over(g).alias("group_size"), r6(F.max("prob").over(g) - F.col("prob")).alias("gap_to_best"), r6(F.avg("prob").over(g)).alias("group_mean"))
+    return p.select("s1_id", "target_id", "prob", "rn", F.count(F.lit(1)).over(g).alias("group_size"), r6(F.max("prob").over(g) - F.col("prob")).alias("gap_to_best"), r6(F.avg("prob").over(g)).alias("group_mean"))
 
 
 @query("j18_blend", SCORED + " select s1_id, target_id, round(0.7 * prob + 0.3 * (1 - prob), 6) as prob from scored")
@@ -240,7 +239,7 @@ def _(spark, sf):
 def _(spark, sf):
     _q, t, p, _truth = scored(spark, sf)
     ck = t.select("target_id", "country", X.core_key(F.col("business_name")).alias("ck"))
-    df = ck.join(ck.groupBy("country", "ck").agg(count.alias("df")), ["country", "ck"]).select("target_id", "df")
+    df = ck.join(ck.groupBy("country", "ck").agg(F.count(F.lit(1)).alias("df")), ["country", "ck"]).select("target_id", "df")
     return p.join(df, "target_id").where(~((F.col("df") >= 3) & (F.col("prob") < 0.6))).select("s1_id", "target_id")
 
 
@@ -281,13 +280,13 @@ def _(spark, sf):
     q, t = pages(spark, sf)
     shared = lambda n: F.size(F.array_intersect(X.tokens(F.col("q_address"), n), X.tokens(F.col("t_address"), n)))
     p = B.hydrate(keyed(q, t), q, t).select(shared(1).alias("a"), shared(4).alias("l"))
-    return p.agg(count.alias("pairs"), F.count_if(F.col("a") > 0).alias("any_overlap"), F.count_if(F.col("l") > 0).alias("long_overlap"), F.count_if((F.col("a") > 0) & (F.col("l") == 0)).alias("short_only"))
+    return p.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a") > 0).alias("any_overlap"), F.count_if(F.col("l") > 0).alias("long_overlap"), F.count_if((F.col("a") > 0) & (F.col("l") == 0)).alias("short_only"))
 
 
 @query("l11_collision_study", FIELDS + ", truth as (select min(s1_id) as s1_id, target_id from pairs group by target_id) select x.s1_id is not null as is_match, case when ads * 100 < 30 then '<30' when ads * 100 < 50 then '30-49' when ads * 100 < 70 then '50-69' when ads * 100 < 90 then '70-89' else '90+' end as bin, count(*) as n from js left join truth x using (s1_id, target_id) group by all")
 def _(spark, sf):
     rows = field_scored(spark, sf).join(scored(spark, sf)[3].withColumn("hit", F.lit(1)), ["s1_id", "target_id"], "left")
-    return rows.groupBy(F.col("hit").isNotNull().alias("is_match"), E.bins(F.col("ads") * 100, [30, 50, 70, 90]).alias("bin")).agg(count.alias("n"))
+    return rows.groupBy(F.col("hit").isNotNull().alias("is_match"), E.bins(F.col("ads") * 100, [30, 50, 70, 90]).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l12_pair_profile", PAGES + KEYS[len(PAGES):] + f", p as (select a.business_name = b.business_name as same_name, a.business_address = b.business_address as same_address, regexp_matches(a.business_name, '[^\\x00-\\x7F]') as accents, b.country, b.source from s1 a join t b on a.country = b.country and {core('a.business_name')} = {core('b.business_name')} where {core('a.business_name')} <> '') select country, source, count(*) as n, count(*) filter (where same_name) as same_name, count(*) filter (where same_address) as same_address, count(*) filter (where accents) as accents from p group by grouping sets ((), (country), (source))")
@@ -295,13 +294,13 @@ def _(spark, sf):
     q, t = pages(spark, sf)
     p = B.hydrate(keyed(q, t), q, t).withColumnRenamed("target_source", "source")
     c, s = F.col("country"), F.col("source")
-    return p.groupingSets([[], [c], [s]], c, s).agg(count.alias("n"), F.count_if(F.col("q_name") == F.col("t_name")).alias("same_name"), F.count_if(F.col("q_address") == F.col("t_address")).alias("same_address"), F.count_if(X.non_ascii(F.col("q_name"))).alias("accents"))
+    return p.groupingSets([[], [c], [s]], c, s).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q_name") == F.col("t_name")).alias("same_name"), F.count_if(F.col("q_address") == F.col("t_address")).alias("same_address"), F.count_if(X.non_ascii(F.col("q_name"))).alias("accents"))
 
 
 @query("l14_truth_profile", SCORED + ", g as (select s1_id, count(*) as n, count(*) filter (where target_id like 'S2-%') as s2 from truth group by 1) select n as size, count(*) as groups, count(*) filter (where s2 = 0) as only_s3, count(*) filter (where s2 = n) as only_s2 from g group by 1")
 def _(spark, sf):
-    g = scored(spark, sf)[3].groupBy("s1_id").agg(count.alias("n"), F.count_if(F.col("target_id").startswith("S2-")).alias("s2"))
-    return g.groupBy(F.col("n").alias("size")).agg(count.alias("groups"), F.count_if(F.col("s2") == 0).alias("only_s3"), F.count_if(F.col("s2") == F.col("n")).alias("only_s2"))
+    g = scored(spark, sf)[3].groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_id").startswith("S2-")).alias("s2"))
+    return g.groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("s2") == 0).alias("only_s3"), F.count_if(F.col("s2") == F.col("n")).alias("only_s2"))
 
 
 @query("l16_order_leak", SCORED + f" select round(quantile_cont(abs({NUM('s1_id')} - {NUM('target_id')}), 0.5), 6) as median_gap, count(*) filter (where abs({NUM('s1_id')} - {NUM('target_id')}) <= 3) as close from truth")

@@ -213,3 +213,12 @@ def test_entry_has_unique_names():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     assert json.dumps(sorted(names))
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
