@@ -224,13 +224,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """``docs`` with one document of each group of :func:`jaccard_join`: that of the least id.
 
-    Rows repeated under one id and text are one document. Texts without words all stay. All columns are kept.
+    Rows repeated under one id and text are one document: of those of a group's head, the row of
+    the least hash stays. Texts without words all stay. All columns are kept.
     """
-    j = _joined(docs, id_col, text_col, n, threshold, recall)
+    j = _joined(docs, id_col, text_col, n, threshold, recall).where("ka is not null")
     same = F.expr("doc_id <=> head.doc_id and __key = head.__key")
-    gone = j.where(F.col("ka").isNotNull() & ~same).select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__gone")).distinct()
+    name = [F.col("doc_id").alias("__doc"), F.col("__key").alias("__gone")]
+    again = cut(j.where(same).groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    gone = j.where(~same).select(*name).distinct().unionByName(again)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
-    return keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__gone"]), "left_anti").select("__row.*")
+    of = lambda names: keyed["__id"].eqNullSafe(names["__doc"]) & (keyed["__key"] == names["__gone"])
+    one = keyed.join(again, of(again)).groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return keyed.join(gone, of(gone), "left_anti").select("__row.*").unionByName(one.select("__row.*"))
 
 
 def brute_force(rows: list[tuple], n: int = 5, threshold: float = 0.8) -> list[tuple]:

@@ -31,6 +31,16 @@ def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_rows_that_stand_twice_come_down_to_one(spark):
+    text = {d: " ".join(f"w{d}x{i}" for i in range(50)) for d in (1, 2, 3, 4)}
+    rows = [(1, text[1], "en", "a", 0), (1, text[1], "en", "b", 0), (2, text[2], "en", "a", 0), (None, text[3], "en", "a", 0), (None, text[3], "en", "a", 0), (4, text[4], "en", "a", 0), (5, text[4], "en", "a", 0), (5, text[4], "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(1, text[1]), (2, text[2]), (0, text[3]), (4, text[4])])
+    left = corpus_pipeline.substring_dedup_stage(spark, out, SF).collect()
+    assert sorted(r["text"] for r in left) == sorted(text.values())
+
+
 def test_queries_return_what_they_promise(spark):
     promised = {
         "op1_token_counts": "doc_id n_bytes n_tokens over_limit", "op2_substring_dedup": "doc_id n_words n_removed kept_sha256", "op3_bpe_round_trip": "doc_id n_tokens ids_sha256 decoded_sha256",
