@@ -10,21 +10,22 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import text_key
 from matchloom.llm.recompress import Stretches, blocks, mix, word_hashes
 
-#: A place is (first window << 32) | (row key << 10) | windows, so windows of up to 1023 words are possible.
-KEY_BITS, COUNT_BITS = 22, 10
+#: A place is (first window << 10) | windows, so windows of up to 1023 words are possible.
+COUNT_BITS = 10
 #: Names at least this frequent in a 64th of the documents, at most so many, are each dealt to this many parts.
 HOT_IN_SAMPLE, MOST_HOT, SALTS = 32, 1024, 64
 #: Words that one call of the kernel takes at least, where that many are there.
 KERNEL_WORDS = 400_000
 
 
-def _place(first, key, count):
-    return (first << (KEY_BITS + COUNT_BITS)) | (key << COUNT_BITS) | count
+def _place(first, count):
+    return (first << COUNT_BITS) | count
 
 
-def _settled(name: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _settled(name: np.ndarray, content: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """One row for each (name, content) with its count, and each further occurrence under a name of its own.
 
     What recurs within the rows at hand is known to be repeated, so only one of it has to meet the
@@ -40,15 +41,15 @@ def _settled(name: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.n
     count[order[at]] = size
     extra = np.ones(len(order), bool)
     extra[order[at]] = False
-    own = mix(place.astype(np.uint64) + mix(doc.astype(np.uint64)))
-    return np.where(extra, own, name), content, count, doc, place
+    own = mix(place.astype(np.uint64) + mix(doc.astype(np.uint64) + mix(key.view(np.uint64))))
+    return np.where(extra, own, name), content, count, doc, key, place
 
 
-def _rows(name, content, count, doc, place, null):
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count), pa.array(doc, pa.int64(), mask=null), pa.array(place)], names=["name", "content", "n", "doc_id", "place"])
+def _rows(name, content, count, doc, key, place, null):
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count), pa.array(doc, pa.int64(), mask=null), pa.array(key), pa.array(place)], names=["name", "content", "n", "doc_id", "key", "place"])
 
 
-PLACES = "name long, content long, n long, doc_id long, place long"
+PLACES = "name long, content long, n long, doc_id long, key long, place long"
 
 
 def _blocks(docs: DataFrame, width: int) -> DataFrame:
@@ -68,8 +69,7 @@ def _blocks(docs: DataFrame, width: int) -> DataFrame:
             key = np.array(keys, np.int64)[at]
             doc = np.array([0 if d is None else d for d in ids], np.int64)[at]
             null = np.array([d is None for d in ids])[at]
-            name, content, n, doc, place = _settled(name, content, doc, _place(first - offset[at], key, count))
-            yield _rows(name, content, n, doc, place, null)
+            yield _rows(*_settled(name, content, doc, key, _place(first - offset[at], count)), null)
 
         held, ids, keys, total = [], [], [], 0
         for batch in batches:
@@ -91,27 +91,27 @@ def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            name, salt, content, n, doc, place = [], [], [], [], [], []
+            name, salt, content, n, doc, keys, place = [], [], [], [], [], [], []
             hot: list[tuple] = []
             texts = pa.compute.struct_field(batch.column("__row"), text).to_pylist()
             for whole, doc_id, key, listed in zip(texts, *(batch.column(c).to_pylist() for c in ("__id", "__key", "listed")), strict=True):
                 hashes = Stretches(word_hashes(whole))
                 for x in listed:
-                    count, first = x["place"] & ((1 << COUNT_BITS) - 1), x["place"] >> (KEY_BITS + COUNT_BITS)
+                    count, first = x["place"] & ((1 << COUNT_BITS) - 1), x["place"] >> COUNT_BITS
                     at = first + np.arange(count)
                     here = hashes.hash(at, width)
                     if x["hot"]:
-                        hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id or 0, np.int64), _place(at, key, 1), np.full(count, doc_id is None)))
+                        hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id or 0, np.int64), np.full(count, key, np.int64), _place(at, 1), np.full(count, doc_id is None)))
                     else:
-                        name.append(x["name"]), salt.append(0), content.append(here.view(np.int64)), n.append(1), doc.append(doc_id), place.append(x["place"])
+                        name.append(x["name"]), salt.append(0), content.append(here.view(np.int64)), n.append(1), doc.append(doc_id), keys.append(key), place.append(x["place"])
             if hot:
                 *cols, null = map(np.concatenate, zip(*hot, strict=True))
-                names, contents, counts, docs, places = _settled(*cols)
+                names, contents, counts, docs, of, places = _settled(*cols)
                 name.extend(names.view(np.int64).tolist()), salt.extend((contents % np.uint64(SALTS)).tolist()), content.extend(contents.view(np.int64)[:, None])
-                n.extend(counts.tolist()), doc.extend(None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)), place.extend(places.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), pa.array(content, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["name", "salt", "contents", "n", "doc_id", "place"])
+                n.extend(counts.tolist()), doc.extend(None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)), keys.extend(of.tolist()), place.extend(places.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), pa.array(content, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(place, pa.int64())], names=["name", "salt", "contents", "n", "doc_id", "key", "place"])
 
-    return found.mapInArrow(run, "name long, salt int, contents array<long>, n long, doc_id long, place long")
+    return found.mapInArrow(run, "name long, salt int, contents array<long>, n long, doc_id long, key long, place long")
 
 
 def _frequent(plain: DataFrame, width: int) -> list[int]:
@@ -144,27 +144,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 2 <= width < 1 << COUNT_BITS:
         raise ValueError(f"width must be from 2 to {(1 << COUNT_BITS) - 1}")
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND((1 << KEY_BITS) - 1)
+    key = text_key(text_col)
     text = f"c{docs.columns.index(text_col)}"
     # rows travel whole, as one column, so that both joins below read one and the same exchange
     keyed = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), key.alias("__key"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("__key"), F.col(text_col).alias("__text"))
-    of_place = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << KEY_BITS) - 1)
+    which = F.xxhash64("doc_id", "key", "place")  # equal in two blocks only lists one block more
 
     hot = _frequent(plain, width)
     is_hot = F.col("name").isin(hot) if hot else F.lit(False)
     found = _blocks(plain, width).where("name is not null").withColumn("salt", F.when(is_hot, F.pmod("content", F.lit(SALTS))).otherwise(0).cast("int")).repartition("name", "salt")
     of_name, of_block = Window.partitionBy("name", "salt"), Window.partitionBy("name", "salt", "content")
-    found = found.withColumn("all", F.sum("n").over(of_block)).withColumn("least", F.min("place").over(of_block)).withColumn("a", F.min("content").over(of_name)).withColumn("b", F.max("content").over(of_name))
+    found = found.withColumn("all", F.sum("n").over(of_block)).withColumn("least", F.min(which).over(of_block)).withColumn("a", F.min("content").over(of_name)).withColumn("b", F.max("content").over(of_name))
     # one of each block whose name other blocks have too; all > 0 reads what the marks read, so both share one exchange
-    unsure = found.where((F.col("least") == F.col("place")) & (F.col("all") > 0) & ((F.col("a") != F.col("b")) | is_hot))
-    listed = unsure.groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list(F.struct("name", "place", is_hot.alias("hot"))).alias("listed"))
+    unsure = found.where((F.col("least") == which) & (F.col("all") > 0) & ((F.col("a") != F.col("b")) | is_hot))
+    listed = unsure.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("name", "place", is_hot.alias("hot"))).alias("listed"))
     unsure = keyed.join(listed, keyed["__id"].eqNullSafe(listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "__id", "__key", "listed")
     lists = _windows(unsure, text, width).repartition("name", "salt")
-    single = lists.select("name", "salt", "n", "doc_id", "place", F.posexplode("contents").alias("i", "content")).withColumn("all", F.sum("n").over(of_block)).where("all > 1")
-    one = F.col("place") - F.col("place").bitwiseAND((1 << COUNT_BITS) - 1) + F.col("i").cast("long") * (1 << (KEY_BITS + COUNT_BITS)) + 1
-    marks = found.where("all > 1").select("doc_id", "place").unionByName(single.select("doc_id", one.alias("place")))
-    marked = marks.groupBy(F.col("doc_id").alias("d"), of_place.alias("k")).agg(F.collect_list("place").alias("places"))
+    single = lists.select("name", "salt", "n", "doc_id", "key", "place", F.posexplode("contents").alias("i", "content")).withColumn("all", F.sum("n").over(of_block)).where("all > 1")
+    one = F.col("place") - F.col("place").bitwiseAND((1 << COUNT_BITS) - 1) + F.col("i").cast("long") * (1 << COUNT_BITS) + 1
+    marks = found.where("all > 1").select("doc_id", "key", "place").unionByName(single.select("doc_id", "key", one.alias("place")))
+    marked = marks.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list("place").alias("places"))
     joined = keyed.join(marked, keyed["__id"].eqNullSafe(marked["d"]) & (keyed["__key"] == marked["k"]), "left")
 
     def apply(batches):
@@ -175,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 gone = 0
                 if places.is_valid:
                     place = places.values.to_numpy()
-                    first = place >> (KEY_BITS + COUNT_BITS)
+                    first = place >> COUNT_BITS
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + (place & ((1 << COUNT_BITS) - 1)) + width - 1, -1)

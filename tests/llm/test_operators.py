@@ -142,6 +142,17 @@ def test_substring_dedup_of_small_alphabets(spark, monkeypatch, width, hot):
     same(got.collect(), substring.brute_force(rows, width))
 
 
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    """Texts without an id whose hashes have their low 22 bits in common, one of them repeated under an id."""
+    text = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n))
+    texts = spark.createDataFrame([(i, text(i, 40 + i % 60)) for i in range(20_000)], "i long, text string")
+    low = texts.selectExpr("i", "text", "xxhash64(text) & 4194303 as low")
+    pairs = low.alias("x").join(low.alias("y"), "low").where("x.i < y.i").selectExpr("x.text as a", "y.text as b").collect()
+    assert pairs
+    rows = [(None, t) for p in pairs for t in p] + [(k, p[k % 2]) for k, p in enumerate(pairs)]
+    same(substring.substring_report(spark.createDataFrame(rows, "doc_id long, text string")).collect(), substring.brute_force(rows))
+
+
 def test_equal_windows_have_equal_symbols():
     rng = np.random.default_rng(1)
     texts = [recompress.mix(rng.integers(0, k, n).astype(np.uint64)) for k, n in [(3, 300), (50, 200), (2, 100), (1, 80)] * 3]
