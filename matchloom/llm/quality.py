@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "stop": r"[.,;:!?]+", "quote": r"['\"()\[\]{}-]+"}
 #: Fixed value: the symbols that the base rules count, a class of their own.
 SYMBOLS = "#*$%&|<>"
+#: Steps that distances are counted in, to find the quantiles of any number of documents.
+STEPS = 1 << 12
 #: One code for each common word, from the first printable character on.
 CODES = [chr(0x100 + i) for i in range(len(VOCABULARY))]
 
@@ -94,13 +98,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = 0.28, word_limit: float = 0.42, min_chars: int = 150, min_words: int = 40) -> DataFrame:
+def _without_common(ref: list[float]) -> float:
+    """Distance from a reference of the text that has none of its common words."""
+    rest = ref[-1]
+    mid = (1 + rest) / 2
+    term = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt((sum(term(x, x / 2) for x in ref[:-1]) + term(rest, mid) + term(1.0, mid)) / 2)
+
+
+def _limits(counts: list, share: float) -> dict[str, float]:
+    """For each histogram the upper edge of the step that the quantile ``share`` of the distances lies in."""
+    found, total = {}, {}
+    for kind, _, n in counts:
+        total[kind] = total.get(kind, 0) + n
+    below = dict.fromkeys(total, 0)
+    for kind, step, n in sorted(tuple(r) for r in counts):
+        below[kind] += n
+        if kind not in found and below[kind] >= share * total[kind] - 1e-9:
+            found[kind] = (step + 1) / STEPS
+    return found
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.95, char_limit: float | None = None, word_limit: float | None = None, min_chars: int = 150, min_words: int = 40) -> DataFrame:
     """One row per input row: id, the base counts, ``base_failed``, both distances and ``kept``.
 
     References are the mean histograms, over all documents that pass the base rules, of each
     language of ``COMMON_WORDS`` as ``lang`` names it; rows of other or null languages make none.
     A document is compared with every reference and its nearest counts, so a wrong or missing
-    language costs nothing. Guards: texts under ``min_chars`` word characters or ``min_words``
+    language costs nothing. The limit of each histogram is the quantile ``share`` of the distances
+    of all documents that pass the base rules and the guards, unless one is given; it is one for all
+    references, as junk gathers at some of them and the others would lose good texts. A text
+    without any common word always lies beyond the word limit so found. Guards: texts under ``min_chars`` word characters or ``min_words``
     words are too short for the histogram in question, which then passes. Without any reference
     the base rules decide. A null text is empty and fails the base rules; an empty table gives no
     rows; repeated rows are judged alike; other columns are ignored.
@@ -112,8 +140,21 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     usable = rows.where(~base_failed() & F.col("__lang").isin(list(COMMON_WORDS)))
     pooled = usable.groupBy("__lang").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(n_chars)]).alias("p"), F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("w")).orderBy("__lang").collect()
     lit = lambda xs: F.array(*[F.lit(float(x or 0.0)) for x in xs])
-    nearest = lambda c: F.least(*[_divergence(F.col(c), lit(r[c])) for r in pooled], F.lit(1.0)) if pooled else F.lit(0.0)
-    out = rows.withColumn("base_failed", base_failed())
-    out = out.withColumn("char_distance", nearest("p")).withColumn("word_distance", nearest("w"))
-    fine = ((F.col("word_chars") < min_chars) | (F.col("char_distance") <= char_limit)) & ((F.col("n_words") < min_words) | (F.col("word_distance") <= word_limit))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & fine).alias("kept"))
+    near = lambda c, i: F.struct(F.least(_divergence(F.col(c), lit(pooled[i][c])), F.lit(1.0)).alias("d"), F.lit(i).alias("r"))
+    nearest = lambda c: F.array_min(F.array(*[near(c, i) for i in range(len(pooled))])) if pooled else F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("r"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = cut(rows.select("doc_id", *counts, base_failed().alias("base_failed"), nearest("p").alias("p"), nearest("w").alias("w")))
+    short = {"p": F.col("word_chars") < min_chars, "w": F.col("n_words") < min_words}
+    step = lambda c: F.when(~short[c], F.struct(F.lit(c).alias("kind"), F.floor(F.col(c)["d"] * STEPS).alias("step")))
+    spread = out.where("not base_failed").select(F.explode(F.array(step("p"), step("w"))).alias("s")).where("s is not null")
+    limits = _limits(spread.groupBy("s.kind", "s.step").agg(F.count(F.lit(1)).alias("n")).collect(), share)
+    # the distance of a text of other words only, where a reference has common ones
+    bare = {i: _without_common(r["w"]) - 1e-9 for i, r in enumerate(pooled) if sum(r["w"][:-1]) > 0}
+
+    def fine(c: str, fixed: float | None) -> Column:
+        most = limits.get(c, 1.0) if fixed is None else fixed
+        of = [F.when(F.col(c)["r"] == i, F.lit(min(most, x))) for i, x in bare.items()] if c == "w" and fixed is None else []
+        return short[c] | (F.col(c)["d"] <= F.coalesce(*of, F.lit(most)))
+
+    kept = ~F.col("base_failed") & fine("p", char_limit) & fine("w", word_limit)
+    return out.select("doc_id", *counts, "base_failed", F.col("p.d").alias("char_distance"), F.col("w.d").alias("word_distance"), kept.alias("kept"))

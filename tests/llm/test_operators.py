@@ -300,6 +300,24 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kept == set(range(60))
 
 
+def test_quality_tests_each_histogram_alone(spark):
+    rng, common = random.Random(6), "the of and to in is that it was for on with as be at".split()
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    text = lambda f, other: " ".join(rng.choice(common) if rng.random() < f else other() for _ in range(200)) + "."
+    rows = [(i, text(0.4, word), "en") for i in range(200)]
+    rows += [(1000 + i, text(0, word), "en") for i in range(4)] + [(2000 + i, text(0.4, lambda: str(rng.randint(1000, 99999))), "en") for i in range(4)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    prose = [r for i, r in got.items() if i < 1000]
+    assert sum(r["kept"] for r in prose) >= 0.9 * len(prose)
+    usual = {c: max(r[c] for r in prose) for c in ("char_distance", "word_distance")}
+    for start, far, other in ((1000, "word_distance", "char_distance"), (2000, "char_distance", "word_distance")):
+        for r in (got[start + i] for i in range(4)):
+            assert not r["base_failed"] and not r["kept"]
+            assert r[far] > usual[far] and r[other] <= usual[other] * 1.5
+    few = [*rows[:30], *[(3000 + i, text(0, word), "en") for i in range(30)]]
+    assert {r["kept"] for r in quality.quality(spark.createDataFrame(few, SCHEMA)).where("doc_id >= 3000").collect()} == {False}
+
+
 def brute_lines(rows, m=2):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, []
