@@ -41,6 +41,13 @@ def test_rows_that_stand_twice_come_down_to_one(spark):
     assert sorted(r["text"] for r in left) == sorted(text.values())
 
 
+def test_lines_that_recur_alone_or_between_blank_lines_go(spark):
+    rows = [(1, "first own\nthe line that recurs\nmore own", "en", "a", 0), (2, "second own\nthe line that recurs\nother own", "en", "a", 0), (3, "para one\n\npara two", "en", "a", 0), (4, "para one\n\npara two\n\nlast own", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert out == {1: rows[0][1], 2: "second own\nother own", 3: rows[2][1], 4: "\n\nlast own"}
+
+
 def test_queries_return_what_they_promise(spark):
     promised = {
         "op1_token_counts": "doc_id n_bytes n_tokens over_limit", "op2_substring_dedup": "doc_id n_words n_removed kept_sha256", "op3_bpe_round_trip": "doc_id n_tokens ids_sha256 decoded_sha256",
