@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: lineage cuts, row keys, words."""
+"""Shared pieces of the text operators: lineage cuts, row keys, words, joins with hot keys."""
 
 from __future__ import annotations
 
@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 #: What separates words, as a Java, DuckDB and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
+#: A key is hot that holds more than this part of the rows, so there are at most so many hot keys.
+HOT_PART = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the session names.
 
-    A temporary folder is used only when the session names none, as in local tests.
+    On a cluster the session must name one that all nodes share; only a local session that names
+    none, as in tests, gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="matchloom-"))
     return df.checkpoint()
 
 
@@ -32,11 +38,26 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(text_of(name))
 
 
-def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id", key: str = "__key") -> Column:
-    """Equi-join condition on (id, text key); null ids equal each other."""
-    return left[id_col].eqNullSafe(right[id_col]) & (left[key] == right[key])
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, under names of their places, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
 
 
 def words(text: Column) -> Column:
     """Runs of characters other than the six ASCII spaces."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of stored ``rows`` with ``counted``, which has one row a key and the key's number of rows.
+
+    Keys that hold more than a ``HOT_PART``-th of the rows are at most ``HOT_PART``: those are
+    broadcast, and their rows stay where they are. All other keys are shuffled.
+    """
+    most = max(total // HOT_PART, 64)
+    more = [c for c in counted.columns if c not in keys]
+    hot = counted.where(F.col(count) > most).select(*keys, F.struct(*more).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    warm = marked.where("__hot is not null").select(*rows.columns, *[F.col("__hot")[c].alias(c) for c in more])
+    cold = marked.where("__hot is null").drop("__hot").join(counted.where(F.col(count) <= most), keys).select(*rows.columns, *more)
+    return warm.unionByName(cold)

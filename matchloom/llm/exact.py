@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import SPACE, cut, text_of
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 256, tracked: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 4096) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical once each run of ASCII spaces is one space; a null text is the
@@ -16,13 +16,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under that id are one document and all stay. A null id never wins over another id, and a group
     of null ids only keeps all of its rows. Other columns are ignored; an empty table gives no rows.
 
-    Misra-Gries counters (``tracked`` of them, merged over map tasks) find each digest that holds
-    more than 1/``tracked`` of the rows. At most ``heavy`` winners are counted exactly and
-    broadcast, so their rows never shuffle and no remaining group is large.
+    Misra-Gries counters, merged over map tasks, find every digest that holds more than about
+    2/``tracked`` of the rows. All of these, at most ``tracked``, are counted exactly and the
+    verified ones broadcast, so their rows never shuffle; what remains holds at most that part of
+    the rows in one group.
     """
     sha = F.unhex(F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256))
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha"))).withColumn("mark", F.xxhash64("sha"))
-    found = rows.agg(F.expr(f"approx_top_k(mark, {heavy}, {tracked})").alias("top")).first()["top"] or []
+    found = rows.agg(F.expr(f"approx_top_k(mark, {tracked}, {tracked})").alias("top")).first()["top"] or []
     suspects = [r["item"] for r in found if r["count"] > 1]
 
     def finish(df: DataFrame) -> DataFrame:

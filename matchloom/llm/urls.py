@@ -7,10 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import cut
+
 #: Bits of a block are the 64 bits of a long; this many are set for each key.
 PROBES = 4
-#: Upper bound of the filter's blocks, so of the broadcast: 16 bytes a block in a row of the hashed relation.
-MAX_BLOCKS = 1 << 18
+#: Words of a filter that may be broadcast, 16 bytes each in a hashed relation; a larger filter is shuffled.
+MOST_BROADCAST = 1 << 21
+#: Parts that the urls of one host are dealt to where they meet the list.
+SALTS = 32
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -30,6 +34,24 @@ def _mask(key: Column) -> Column:
     return F.aggregate(F.transform(F.array(*[F.lit(6 * i) for i in range(PROBES)]), lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.call_function("shiftright", h, s), F.lit(64)).cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+class Bloom:
+    """A blocked Bloom filter of ``keys`` (distinct strings): one 64-bit word a block, four keys a word.
+
+    The filter grows with its keys. Up to ``MOST_BROADCAST`` words it is broadcast, and probing is a
+    map-side join on the block number; beyond, words and probes meet in a shuffle.
+    """
+
+    def __init__(self, keys: DataFrame, count: int):
+        self.blocks = max(64, 1 << math.ceil(math.log2(count / 4 + 1)))
+        words = keys.select(_block(F.col("key"), self.blocks).alias("__block"), _mask(F.col("key")).alias("__m")).groupBy("__block").agg(F.bit_or("__m").alias("__word"))
+        self.words = F.broadcast(words) if self.blocks <= MOST_BROADCAST else words
+
+    def possible(self, probes: DataFrame) -> DataFrame:
+        """The rows whose ``key`` may be one of the keys."""
+        marked = probes.withColumn("__block", _block(F.col("key"), self.blocks)).withColumn("__mask", _mask(F.col("key")))
+        return marked.join(self.words, "__block").where(F.col("__word").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*probes.columns)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict``.
 
@@ -37,31 +59,33 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     subdomains where the url's path starts with the entry's. The entry with the longest host, then
     the longest path, wins; of entries listed twice, block wins. A url that no listed entry fits gets ``default``
     and a null rule. Null urls and those without ``://`` have empty host and path. Entries with a
-    null or empty host fit nothing. An empty list gives every url the default; empty ``pages`` give no rows.
+    null or empty host fit nothing. An empty list gives every url the default; empty ``pages`` give
+    no rows; repeated rows are judged alike; ids may be of any type; other columns are ignored.
 
-    Each distinct url yields one key per host suffix and listed path length. The keys probe a Bloom
-    filter of one 64-bit word a block: a broadcast of at most ``MAX_BLOCKS`` words, joined on the
-    block number. What passes meets the list in an ordinary hash join, which removes false positives.
+    Hosts come first: each distinct host's suffixes probe the filter of listed hosts, and an exact
+    hash join with these leaves the listed hosts that fit. Only urls of such hosts go on, with one
+    key for each path length that one of their own listed hosts has. These keys probe the filter of
+    listed urls, and what passes meets the list in an exact hash join, which removes false positives.
     """
     entries = listed.where("host <> ''").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").groupBy("host", "path").agg(F.max("verdict").alias("listed"))
-    entries = entries.withColumn("key", F.concat_ws("\t", "host", "path"))
-    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
-    blocks = min(MAX_BLOCKS, max(64, 1 << math.ceil(math.log2(max(1, shape["n"] or 0) / 4 + 1))))
-    bloom = entries.select(_block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    entries = cut(entries.withColumn("key", F.concat_ws("\t", "host", "path")))
+    hosts = cut(entries.groupBy(F.col("host").alias("key")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths")))
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"))
     host, path = url_parts(F.col("__url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    urls = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = F.array(*[F.lit(int(n)) for n in sorted(shape["lengths"] or [])]).cast("array<int>")
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
-    urls = rows.where("host <> ''").select("host", "path").distinct()
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat_ws("\t", s, p))))
-    probes = urls.select("host", "path", F.explode(keys).alias("key"))
-    probes = probes.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
-    possible = probes.join(F.broadcast(bloom), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
-    hits = possible.select(F.col("host").alias("h"), F.col("path").alias("p"), "key").join(entries.select("key", F.col("host").alias("eh"), F.col("path").alias("ep"), "listed"), "key")
+    asked = urls.select("host").distinct().select("host", F.explode(suffixes).alias("key"))
+    fitting = Bloom(hosts, hosts.count()).possible(asked).join(hosts, "key").groupBy("host").agg(F.collect_list(F.struct("key", "lengths")).alias("fits"))
+    # a host's urls are dealt out by their paths, as one host may have very many
+    salted = fitting.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = urls.withColumn("__salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"])
+    heads = lambda f: F.transform(F.filter(f["lengths"], lambda n: n <= F.length("path")), lambda n: F.concat_ws("\t", f["key"], F.substring("path", F.lit(1), n)))
+    probes = met.select(F.col("host").alias("h"), F.col("path").alias("p"), F.explode(F.flatten(F.transform("fits", heads))).alias("key"))
+    possible = Bloom(entries, entries.count()).possible(probes)
+    hits = possible.join(entries.select("key", F.col("host").alias("eh"), F.col("path").alias("ep"), "listed"), "key")
     best = hits.groupBy("h", "p").agg(F.max(F.struct(F.length("eh").alias("a"), F.length("ep").alias("b"), F.concat("eh", "ep").alias("rule"), "listed")).alias("best"))
     out = rows.join(best, (rows["host"] == best["h"]) & (rows["path"] == best["p"]), "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed", F.lit(default)).alias("verdict"))
