@@ -61,3 +61,11 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: st
     warm = marked.where("__hot is not null").select(*rows.columns, *[F.col("__hot")[c].alias(c) for c in more])
     cold = marked.where("__hot is null").drop("__hot").join(counted.where(F.col(count) <= most), keys).select(*rows.columns, *more)
     return warm.unionByName(cold)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or where ``docs`` has a column so called, the name with as many underscores before it as it takes."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -2,45 +2,144 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, text_key, text_of
+from matchloom.llm.common import SPACE, cut, fresh, join_counted, packed, text_key, text_of
+
+#: Parts that the second halves of one class are dealt to, in order, where its members are ranked.
+PARTS = 256
+WORD = r"[^\x20\x09-\x0D]+"
+#: Members of an interval that may be ranked in one task.
+HOT_GROUP = 1 << 14
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int | None) -> DataFrame:
+    """One row for each (id, text): ``u``, a number of its own, and its lines that aren't blank, in order, by place and names, and whether they have ``min_words`` words."""
+    wide = lambda x: F.lit(False) if min_words is None else x.rlike(rf"(?:{WORD}{SPACE}){{{max(0, min_words - 1)}}}{WORD}")
+    line = lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(7), x["line"]).alias("b"), wide(x["line"]).alias("wide"))
+    placed = F.transform(F.split(text_of(text_col), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    held = F.transform(F.filter(placed, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]")), line)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), held.alias("lines")).where("size(lines) > 0")
+    return cut(rows.groupBy("id", "key").agg(F.first("lines").alias("lines"))).withColumn("u", F.monotonically_increasing_id())
 
 
-def _ranked(at: DataFrame, name: list[str]) -> DataFrame:
-    """Rank each suffix by the earliest suffix with the same name; suffixes alone in their name drop out.
+def _ranks(classes: DataFrame, group: list[str], part: Column, order: list[str], base: Column) -> DataFrame:
+    """``classes`` with ``rank``: how many suffixes stand before each class in the order of all suffixes.
 
-    The aggregate combines map-side, so a hot name costs one row a task, and the join that brings
-    ranks back is one whose large partitions AQE splits.
+    A class of ``n`` suffixes takes ``n`` ranks. Within a group they are counted in two levels: over
+    the classes of each part, and over the parts, so that no task sees all classes of a large group.
     """
-    ranks = at.groupBy(*name).agg(F.min(F.struct("doc_id", "__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return at.join(ranks, name).select("doc_id", "__key", "pos", "first")
+    dealt = classes.withColumn("part", part)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*group, "part").agg(F.sum("n").alias("t"))
+    # without a group this is one row for each of 4,096 parts at most
+    offset = parts.select(*group, "part", F.coalesce(F.sum("t").over(before(Window.partitionBy(*group).orderBy("part"))), F.lit(0)).alias("offset"))
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("n").over(before(Window.partitionBy(*group, "part").orderBy(*order))), F.lit(0)))
+    return inside.join(offset, [*group, "part"]).withColumn("rank", base + F.col("offset") + F.col("inside")).drop("part", "inside", "offset")
+
+
+def _named(at: DataFrame, name: list[str]) -> DataFrame:
+    """Classes of suffixes with one name: their number ``n`` and their first by (id, text, place)."""
+    return at.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "u", "i")).alias("first"))
+
+
+def _settled(at: DataFrame, classes: DataFrame, name: list[str], total: int) -> DataFrame:
+    return join_counted(at, cut(classes), name, "n", total).select("u", "i", "rank", "n", "first")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """Positions ``(doc_id, __key, pos, first)`` whose next ``min_lines`` lines stand somewhere earlier or later too.
+def _right(x: Column, bits: int) -> Column:
+    return F.call_function("shiftright", x, F.lit(bits))
 
-    Ranks after h lines become ranks after 2h by joining each suffix to the one h lines on. Ranks of
-    tied suffixes are all that is carried: a suffix that is alone under h lines has no longer
-    neighbour. Equal ranks after ``min_lines`` lines are the intervals of the suffix array whose
-    longest common prefix is at least that; deeper ranks can't change which lines they cover.
-    Blank lines (no character but ASCII spaces) end runs.
+
+def _stored(table: DataFrame, held: DataFrame, state: DataFrame | None) -> DataFrame:
+    """A row for each text that ``table`` has suffixes of: its ranks ``v`` so far, and ``later``, its suffixes that aren't the first of their interval.
+
+    A rank, whether others share it and whether very many do are one long.
     """
-    line = F.col("line")
-    base = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("__key"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"))
-    ids = base.where(line.rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "__key", "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
-    tied = _ranked(ids, ["a", "b"]).distinct()
-    h = 1
-    while h < min_lines:
-        step = min(h, min_lines - h)
-        tied = cut(tied)
-        on = tied.select("doc_id", "__key", (F.col("pos") - step).alias("pos"), F.col("first").alias("second"))
-        left, right = tied.alias("l"), on.alias("r")
-        both = left.join(right, F.expr("l.doc_id <=> r.doc_id and l.__key = r.__key and l.pos = r.pos")).select("l.doc_id", "l.__key", "l.pos", F.col("l.first").alias("f1"), F.col("r.second").alias("f2"))
-        tied = _ranked(both, ["f1", "f2"])
+    value = F.col("rank") * 4 + F.when(F.col("n") > HOT_GROUP, 3).when(F.col("n") > 1, 1).otherwise(0)
+    later = F.when((F.col("n") > 1) & ((F.col("first.u") != F.col("u")) | (F.col("first.i") != F.col("i"))), F.struct("i", F.col("first.u").alias("fu"), F.col("first.i").alias("fi")))
+    news = table.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("new"), F.collect_list(later).alias("later"))
+    if state is None:
+        return cut(news.join(held.select("u", "id", "key"), "u").select("u", "id", "key", F.col("new.v").alias("v"), "later"))
+    # the array with its tied places replaced, in time linear in it
+    last = F.concat(F.array(F.lit(-1)), F.col("new.i"))
+    parts = F.flatten(F.zip_with("new", F.slice(last, 1, F.size("new")), lambda x, p: F.concat(F.slice("v", p + 2, x["i"] - p - 1), F.array(x["v"]))))
+    rest = F.slice("v", F.element_at("new", -1)["i"] + 2, F.size("v"))
+    return cut(state.drop("later").join(news, "u").select("u", "id", "key", F.concat(parts, rest).alias("v"), "later"))
+
+
+def suffix_ranks(held: DataFrame, least: int = 1):
+    """Prefix doubling to the end: yields (h, state) for each depth h.
+
+    ``state`` has a row for each text with suffixes that were not alone before: ``v`` holds, for
+    each suffix, its place in the suffix array as far as h lines tell (times 4, plus whether it
+    shares the place), and ``later`` the suffixes ``i`` that have their first h lines in common with
+    an earlier one, the first of whose interval is suffix ``fi`` of text ``fu``. Depths are 1,
+    ``least``, and on twice the last one, until all suffixes are told apart; the end of a text is
+    like nothing else. Intervals are split by ranking their members by the ranks of their second
+    halves: those of more than ``HOT_GROUP`` members by counts of equal ones, in two levels, the
+    others where they meet.
+    """
+    at = held.select("u", "id", "key", F.posexplode("lines").alias("i", "l")).select("u", "id", "key", "i", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
+    total = held.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    classes = _ranks(_named(at, ["a", "b"]), [], _right(F.col("a"), 52), ["a", "b"], F.lit(0).cast("long"))
+    state = _stored(_settled(at.drop("id", "key"), classes, ["a", "b"], total), held, None)
+    yield 1, state
+    h, width = 1, max(1, -(-total // PARTS))
+    while True:
+        kinds = state.select(F.explode(F.transform("v", lambda x: x % 4)).alias("kind")).where("kind > 0").groupBy("kind").count().collect()
+        if not kinds:
+            return
+        step = min(h, least - h) if h < least else h
+        both = F.transform(F.zip_with("v", F.slice("v", step + 1, F.size("v")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y")))
+        at = state.select("u", "id", "key", F.explode(F.filter(both, lambda p: p["x"] % 2 == 1)).alias("p"))
+        at = at.select("u", "id", "key", "p.i", (F.col("p.x") % 4 == 3).alias("hot"), _right(F.col("p.x"), 2).alias("r1"), F.coalesce(_right(F.col("p.y"), 2), -1 - F.col("u")).alias("r2"))
+        group, name = Window.partitionBy("r1"), Window.partitionBy("r1", "r2")
+        met = at.where("not hot").withColumn("rank", F.col("r1") + F.rank().over(group.orderBy("r2")) - 1).withColumn("n", F.count(F.lit(1)).over(name)).withColumn("first", F.min(F.struct("id", "key", "u", "i")).over(name))
+        table = met.select("u", "i", "rank", "n", "first")
+        if any(r["kind"] == 3 for r in kinds):
+            half = F.when(F.col("r2") < 0, _right(F.col("r2"), 33)).otherwise(F.floor(F.col("r2") / width))
+            many = at.where("hot")
+            classes = _ranks(_named(many, ["r1", "r2"]), ["r1"], half, ["r2"], F.col("r1"))
+            table = table.unionByName(_settled(many.select("u", "i", "r1", "r2"), classes, ["r1", "r2"], sum(r["count"] for r in kinds if r["kind"] == 3)))
         h += step
-    return tied
+        state = _stored(table, held, state)
+        yield h, state
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
+    """Maximal later copies of line runs: ``u, id, key, start, length, first_id, first_start``, places counted in lines that aren't blank.
+
+    From the intervals of the suffix array (see :func:`suffix_ranks`): a suffix that isn't the first
+    of its interval copies as many lines as the interval has in common. Neighbouring suffixes that
+    copy neighbouring lines of one text are one run, as long as the last of them reaches. Runs of
+    fewer than ``min_lines`` lines are left out, but for single lines of ``min_words`` words if that
+    is given. Null and empty texts have no lines; rows repeated under one id and text are one text;
+    an empty table has no runs; other columns are ignored.
+    """
+    return _runs(_lines(docs, id_col, text_col, min_words), min_lines, min_words)
+
+
+def _runs(held: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    marks = []
+    for h, state in suffix_ranks(held, min_lines):
+        later = state.select("u", F.explode("later").alias("x")).select("u", "x.i", F.lit(h).alias("h"), "x.fu", "x.fi")
+        if h < min_lines:
+            if h > 1 or min_words is None:
+                continue
+            wide = held.select("u", F.posexplode("lines").alias("i", "l")).where("l.wide").select("u", "i")
+            later = later.join(wide, ["u", "i"], "left_semi")
+        marks.append(later)
+    deep = functools.reduce(DataFrame.unionByName, marks).groupBy("u", "i").agg(F.max(F.struct("h", "fu", "fi")).alias("m")).select("u", "i", "m.*")
+    by = Window.partitionBy("u").orderBy("i")
+    new = ~((F.lag("i").over(by) == F.col("i") - 1) & (F.lag("fu").over(by) == F.col("fu")) & (F.lag("fi").over(by) == F.col("fi") - 1))
+    chained = deep.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
+    runs = chained.groupBy("u", "run").agg(F.min("i").alias("start"), F.max(F.col("i") + F.col("h")).alias("end"), F.first("fu").alias("fu"), F.min("fi").alias("first_start"))
+    mine, first = held.select("u", "id", "key"), held.select(F.col("u").alias("fu"), F.col("id").alias("first_id"))
+    return runs.join(mine, "u").join(first, "fu").select("u", "id", "key", "start", (F.col("end") - F.col("start")).alias("length"), "first_id", "first_start")
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -50,39 +149,43 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.array_join(F.zip_with(lines, flags, lambda x, f: F.when(F.coalesce(f, F.lit(0)) == 0, x)), "\n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = 3) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted; adds ``__n_lines``, ``__n_deleted`` (long).
 
-    A run is ``min_lines`` or more consecutive lines, none blank, that stand more than once in the
-    table; its first occurrence by (id, position) stays and the lines of every later one go, also
-    within one document. Runs are judged on the input. A null text stays null, an empty one empty;
-    a text may become empty; rows repeated under one id and text are one document. Null ids sort
-    first. All columns of ``docs`` are kept whatever their names.
+    A run is ``min_lines`` or more lines that follow each other, blank lines apart, and stand more
+    than once in the table, or a single such line of ``min_words`` words (None: single lines stay).
+    Its first occurrence by (id, position) stays and the lines of every later one go, also within
+    one document; blank lines stay. Runs are judged on the input. A null text stays null, an empty
+    one empty; a text may become empty; rows repeated under one id and text are one document. Null
+    ids sort first; ids may be of any type that has an order. All columns of ``docs`` are kept whatever
+    their names; where ``docs`` has a column called like an added one, the added one gets an underscore more.
     """
-    copies = repeated_runs(docs, id_col, text_col, min_lines).where(F.struct("doc_id", "__key", "pos") > F.col("first"))
-    gone = copies.select("doc_id", "__key", F.explode(F.array(*[F.col("pos") + i for i in range(min_lines)])).alias("pos")).groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__doc")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
-    joined = keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__key"]), "left")
-    text = F.col("__row")[text_col]
+    held = _lines(docs, id_col, text_col, min_words)
+    at = _runs(held, min_lines, min_words).select("u", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("i"))
+    gone = at.groupBy("u").agg(F.collect_set("i").alias("at")).join(held, "u")
+    gone = gone.select(F.col("id").alias("__doc"), F.col("key").alias("__gk"), F.sort_array(F.transform("at", lambda i: F.get("lines", i)["pos"])).alias("__gone"))
+    keyed = docs.select(packed(docs).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
+    joined = keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__gk"]), "left")
+    text = F.col("__row")[f"c{docs.columns.index(text_col)}"]
     lines = F.split(text, "\n")
     kept = F.when(F.col("__gone").isNull(), text).otherwise(_without(lines, F.col("__gone")))
-    made = joined.select(*[(kept if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("__n_deleted"))
-    return made
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_gone = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
+    return joined.select(*[(kept if c == text_col else F.col("__row")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)], n_lines.alias(fresh(docs, "__n_lines")), n_gone.alias(fresh(docs, "__n_deleted")))
 
 
-def line_report(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def line_report(docs: DataFrame, min_lines: int = 2, min_words: int | None = 3) -> DataFrame:
     """``doc_id, n_lines, n_deleted, kept_sha256`` of :func:`line_dedup` (a null text has no lines and the digest of nothing)."""
-    out = line_dedup(docs.select("doc_id", "text"), min_lines=min_lines)
+    out = line_dedup(docs.select("doc_id", "text"), min_lines=min_lines, min_words=min_words)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null),
-n as (select *, lead(line) over (partition by doc_id order by pos) as nxt from l),
-w as (select doc_id, pos, row_number() over (partition by line, nxt order by doc_id, pos) as k from n
-      where nxt is not null and regexp_matches(line, '[^\x20\x09-\x0D]') and regexp_matches(nxt, '[^\x20\x09-\x0D]')),
-gone as (select distinct doc_id, pos + j as pos from w, (values (0), (1)) v(j) where k > 1),
+n as (select *, lead(line) over w as nxt, lead(pos) over w as npos from l where regexp_matches(line, '[^\x20\x09-\x0D]') window w as (partition by doc_id order by pos)),
+one as (select doc_id, pos, row_number() over (partition by line order by doc_id, pos) as k from n where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3),
+two as (select doc_id, pos, npos, row_number() over (partition by line, nxt order by doc_id, pos) as k from n where npos is not null),
+gone as (select doc_id, pos from one where k > 1 union select doc_id, pos from two where k > 1 union select doc_id, npos from two where k > 1),
 agg as (select l.doc_id, count(*) as n_lines, count(g.pos) as n_deleted,
         coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as kept
         from l left join gone g on l.doc_id = g.doc_id and l.pos = g.pos group by l.doc_id)

@@ -318,28 +318,64 @@ def test_quality_tests_each_histogram_alone(spark):
     assert {r["kept"] for r in quality.quality(spark.createDataFrame(few, SCHEMA)).where("doc_id >= 3000").collect()} == {False}
 
 
-def brute_lines(rows, m=2):
+def brute_lines(rows, m=2, least=None):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, []
     for d, t in rows:
         ls = t.split("\n") if t is not None else []
-        gone = set()
-        for i in range(len(ls) - m + 1):
-            run = tuple(ls[i : i + m])
-            if all(words(x) for x in run):
-                if first.setdefault(run, (d, t, i)) != (d, t, i):
-                    gone.update(range(i, i + m))
+        held, gone = [i for i, x in enumerate(ls) if words(x)], set()
+        for size in {1, m} if least is not None else {m}:
+            for at in range(len(held) - size + 1):
+                places = held[at : at + size]
+                run = tuple(ls[i] for i in places)
+                if size < m and len(words(run[0])) < least:
+                    continue
+                if first.setdefault(run, (d, t, at)) != (d, t, at):
+                    gone.update(places)
         out.append((d, len(ls), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(ls) if i not in gone).encode()).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("m", [1, 2, 3])
-def test_line_dedup(spark, docs, m):
+@pytest.mark.parametrize("m,least,hot", [(1, None, 2), (2, None, 1 << 14), (2, 2, 2), (3, 1, 5)])
+def test_line_dedup(spark, docs, monkeypatch, m, least, hot):
+    monkeypatch.setattr(lines, "HOT_GROUP", hot)
     plain = [(d, t) for d, t, _ in ROWS if (d, t) != (14, "different text of one id")]
-    same(lines.line_report(docs.where("text is null or text <> 'different text of one id'"), m).collect(), brute_lines(plain, m))
+    same(lines.line_report(docs.where("text is null or text <> 'different text of one id'"), m, least).collect(), brute_lines(plain, m, least))
     rng = random.Random(m)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "d e"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
-    same(lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"), m).collect(), brute_lines(rows, m))
+    same(lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"), m, least).collect(), brute_lines(rows, m, least))
+
+
+@pytest.mark.parametrize("hot", [2, 1 << 14])
+def test_suffix_array_and_runs(spark, monkeypatch, hot):
+    """Ranks at the end are the order of all suffixes; each run is a longest copy of earlier lines, and runs hold all that recurs."""
+    monkeypatch.setattr(lines, "HOT_GROUP", hot)
+    rng = random.Random(7)
+    rows = [(i, "\n".join(rng.choice("abc") if i % 3 else rng.choice("xy") for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    rows += [(100 + i, "q\n" * 40 + f"end{i}") for i in range(3)]
+    held = lines._lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", None)
+    names = {r["u"]: [(x["a"], x["b"]) for x in r["lines"]] for r in held.collect()}
+    rank = {}
+    for _, state in lines.suffix_ranks(held, 1):
+        for r in state.collect():
+            rank.update({(r["u"], i): v for i, v in enumerate(r["v"])})
+    assert all(v % 4 == 0 for v in rank.values())
+    order = sorted(rank, key=rank.get)
+    assert [rank[x] // 4 for x in order] == list(range(sum(map(len, names.values()))))
+    suffix = [names[u][i:] for u, i in order]
+    for x, y in zip(suffix, suffix[1:]):
+        k = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), None)
+        assert k is None or x[k] < y[k]
+    texts = {d: t.split("\n") for d, t in rows}
+    copied = {}
+    for r in lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=2).collect():
+        run = texts[r["id"]][r["start"] : r["start"] + r["length"]]
+        assert len(run) == r["length"] >= 2
+        assert (r["first_id"], r["first_start"]) < (r["id"], r["start"])
+        assert texts[r["first_id"]][r["first_start"] : r["first_start"] + r["length"]] == run
+        copied.setdefault(r["id"], set()).update(range(r["start"], r["start"] + r["length"]))
+    want = {d: n for d, _, n, _ in brute_lines(rows, 2)}
+    assert {d: len(p) for d, p in copied.items()} == {d: n for d, n in want.items() if n}
 
 
 @pytest.fixture(scope="module")
