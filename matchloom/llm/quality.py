@@ -63,19 +63,24 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     text, ws = F.col("__text"), F.col("__ws")
     df = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], text_of(text_col).alias("__text"))
     df = df.withColumn("__n", F.length(text)).withColumn("__ws", words(text))
-    size_without = lambda p: F.length(F.regexp_replace(text, p, ""))
-    symbols = F.col("__n") - F.length(F.translate(text, SYMBOLS, ""))
+    # each class is taken out of what the classes before it have left, so only the first reads the whole text
+    left, sizes = text, [F.col("__n")]
+    for i, (take, p) in enumerate([*((F.regexp_replace, p) for p in CLASSES.values()), (F.translate, SYMBOLS), (F.regexp_replace, SPACE)]):
+        df = df.withColumn(f"__left{i}", take(left, p, ""))
+        left = F.col(f"__left{i}")
+        sizes.append(F.length(left))
+    taken = [a - b for a, b in zip(sizes, sizes[1:], strict=False)]
     code = F.create_map(*[F.lit(x) for kv in zip(VOCABULARY, CODES, strict=True) for x in kv])
     coded = F.array_join(F.transform(F.filter(F.transform(ws, F.lower), lambda w: w.isin(VOCABULARY)), lambda w: F.element_at(code, w)), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         "doc_id", *carry,
         F.size(ws).cast("long").alias("n_words"),
-        size_without(SPACE).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
+        (F.col("__n") - taken[-1]).cast("long").alias("word_chars"),
+        taken[-2].cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(ws).alias("n_repeat_words"),
-        F.array(*[F.col("__n") - size_without(p) for p in CLASSES.values()], symbols).alias("chars"),
+        F.array(*taken[:-1]).alias("chars"),
         coded.alias("coded"),
     )
     rest = lambda a, total: F.concat(a, F.array(total - F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)))
@@ -119,11 +124,34 @@ def _limits(counts: list, share: float) -> dict[str, float]:
     return found
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.95, char_limit: float | None = None, word_limit: float | None = None, min_chars: int = 150, min_words: int = 40) -> DataFrame:
+def _pooled(rows: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """Mean histograms of each language of ``COMMON_WORDS``: at most one row a language."""
+    n_chars, n_common = len(CLASSES) + 2, len(VOCABULARY) + 1
+    usable = rows.where(~base_failed() & F.col("__lang").isin(list(COMMON_WORDS)))
+    means = usable.groupBy("__lang").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(n_chars)]).alias("p"), F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("w"))
+    return {r["__lang"]: {c: [float(x or 0.0) for x in r[c]] for c in ("p", "w")} for r in means.orderBy("__lang").collect()}
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = cut(measures(docs.select(F.col(id_col), F.col(text_col), lang.alias("__lang")), id_col, text_col, ("__lang",)))
+    shares = lambda c: _shares(F.transform(c, lambda x: x.cast("double")))
+    return rows.withColumn("p", shares("chars")).withColumn("w", shares("common"))
+
+
+def language_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
+    """References to judge other tables by: per language the mean histograms of documents that pass the base rules."""
+    return _pooled(_measured(docs, id_col, text_col, lang_col))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.95, char_limit: float | None = None, word_limit: float | None = None, min_chars: int = 150, min_words: int = 40, references: dict | None = None) -> DataFrame:
     """One row per input row: id, the base counts, ``base_failed``, both distances and ``kept``.
 
-    References are the mean histograms, over all documents that pass the base rules, of each
-    language of ``COMMON_WORDS`` as ``lang`` names it; rows of other or null languages make none.
+    ``references`` come from :func:`language_references` of a table that is trusted; with these and
+    given limits a document's verdict hangs on nothing but its text. Without any they are made of
+    ``docs``: the mean histograms, over all documents that pass the base rules, of each language of
+    ``COMMON_WORDS`` as ``lang`` names it; rows of other or null languages make none, nor does a
+    table without that column.
     A document is compared with every reference and its nearest counts, so a wrong or missing
     language costs nothing. The limit of each histogram is the quantile ``share`` of the distances
     of all documents that pass the base rules and the guards, unless one is given; it is one for all
@@ -133,13 +161,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     the base rules decide. A null text is empty and fails the base rules; an empty table gives no
     rows; repeated rows are judged alike; other columns are ignored.
     """
-    rows = cut(measures(docs.withColumn("__lang", F.col(lang_col)), id_col, text_col, ("__lang",)))
-    chars, common = F.transform("chars", lambda x: x.cast("double")), F.transform("common", lambda x: x.cast("double"))
-    rows = rows.withColumn("p", _shares(chars)).withColumn("w", _shares(common))
-    n_chars, n_common = len(CLASSES) + 2, len(VOCABULARY) + 1
-    usable = rows.where(~base_failed() & F.col("__lang").isin(list(COMMON_WORDS)))
-    pooled = usable.groupBy("__lang").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(n_chars)]).alias("p"), F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("w")).orderBy("__lang").collect()
-    lit = lambda xs: F.array(*[F.lit(float(x or 0.0)) for x in xs])
+    rows = _measured(docs, id_col, text_col, lang_col)
+    pooled = list((_pooled(rows) if references is None else references).values())
+    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     near = lambda c, i: F.struct(F.least(_divergence(F.col(c), lit(pooled[i][c])), F.lit(1.0)).alias("d"), F.lit(i).alias("r"))
     nearest = lambda c: F.array_min(F.array(*[near(c, i) for i in range(len(pooled))])) if pooled else F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("r"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
