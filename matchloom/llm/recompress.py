@@ -15,6 +15,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
+def word_names(text: str | None) -> np.ndarray:
+    """words x 2: two independent 64-bit hashes of each word, the halves of a 128-bit one."""
+    ws = (text or "").encode("utf-8", "surrogatepass").split()
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ws)), np.uint64).reshape(len(ws), 2)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)

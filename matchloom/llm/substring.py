@@ -10,8 +10,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import text_key
-from matchloom.llm.recompress import Stretches, blocks, mix, word_hashes
+from matchloom.llm.common import fresh, packed, text_key
+from matchloom.llm.recompress import Stretches, blocks, mix, word_names
 
 #: A place is (first window << 10) | windows, so windows of up to 1023 words are possible.
 COUNT_BITS = 10
@@ -45,8 +45,8 @@ def _settled(name: np.ndarray, content: np.ndarray, doc: np.ndarray, key: np.nda
     return np.where(extra, own, name), content, count, doc, key, place
 
 
-def _rows(name, content, count, doc, key, place, null):
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count), pa.array(doc, pa.int64(), mask=null), pa.array(key), pa.array(place)], names=["name", "content", "n", "doc_id", "key", "place"])
+def _rows(name, content, count, doc, key, place):
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(count), pa.array(doc), pa.array(key), pa.array(place)], names=["name", "content", "n", "doc_id", "key", "place"])
 
 
 PLACES = "name long, content long, n long, doc_id long, key long, place long"
@@ -61,20 +61,17 @@ def _blocks(docs: DataFrame, width: int) -> DataFrame:
             if not len(size) or size.max() < width:
                 return
             words, row = np.concatenate(held), np.repeat(np.arange(len(held)), size)
-            name, first, count = blocks(words, row, width)
+            name, first, count = blocks(np.ascontiguousarray(words[:, 0]), row, width)
             if not len(first):
                 return
-            content = Stretches(words).hash(first, count + width - 1)
+            content = Stretches(words[:, 1]).hash(first, count + width - 1)
             at, offset = row[first], np.cumsum(size) - size
-            key = np.array(keys, np.int64)[at]
-            doc = np.array([0 if d is None else d for d in ids], np.int64)[at]
-            null = np.array([d is None for d in ids])[at]
-            yield _rows(*_settled(name, content, doc, key, _place(first - offset[at], count)), null)
+            yield _rows(*_settled(name, content, np.array(ids, np.int64)[at], np.array(keys, np.int64)[at], _place(first - offset[at], count)))
 
         held, ids, keys, total = [], [], [], 0
         for batch in batches:
             for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__key", "__text")), strict=True):
-                w = word_hashes(text)
+                w = word_names(text)
                 held.append(w), ids.append(doc), keys.append(key)
                 total += len(w)
                 if total >= KERNEL_WORDS:
@@ -95,20 +92,19 @@ def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
             hot: list[tuple] = []
             texts = pa.compute.struct_field(batch.column("__row"), text).to_pylist()
             for whole, doc_id, key, listed in zip(texts, *(batch.column(c).to_pylist() for c in ("__id", "__key", "listed")), strict=True):
-                hashes = Stretches(word_hashes(whole))
+                hashes = Stretches(word_names(whole)[:, 1])
                 for x in listed:
                     count, first = x["place"] & ((1 << COUNT_BITS) - 1), x["place"] >> COUNT_BITS
                     at = first + np.arange(count)
                     here = hashes.hash(at, width)
                     if x["hot"]:
-                        hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id or 0, np.int64), np.full(count, key, np.int64), _place(at, 1), np.full(count, doc_id is None)))
+                        hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id, np.int64), np.full(count, key, np.int64), _place(at, 1)))
                     else:
                         name.append(x["name"]), salt.append(0), content.append(here.view(np.int64)), n.append(1), doc.append(doc_id), keys.append(key), place.append(x["place"])
             if hot:
-                *cols, null = map(np.concatenate, zip(*hot, strict=True))
-                names, contents, counts, docs, of, places = _settled(*cols)
+                names, contents, counts, docs, of, places = _settled(*map(np.concatenate, zip(*hot, strict=True)))
                 name.extend(names.view(np.int64).tolist()), salt.extend((contents % np.uint64(SALTS)).tolist()), content.extend(contents.view(np.int64)[:, None])
-                n.extend(counts.tolist()), doc.extend(None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)), keys.extend(of.tolist()), place.extend(places.tolist())
+                n.extend(counts.tolist()), doc.extend(docs.tolist()), keys.extend(of.tolist()), place.extend(places.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), pa.array(content, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(place, pa.int64())], names=["name", "salt", "contents", "n", "doc_id", "key", "place"])
 
     return found.mapInArrow(run, "name long, salt int, contents array<long>, n long, doc_id long, key long, place long")
@@ -131,24 +127,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its row that covers it starts anywhere else too, in the same row or another; windows are judged
     on the input. ``__kept`` has the words that stay, joined by one space; ``text_col`` is replaced
     by it where words went and otherwise unchanged (null stays null). Texts under ``width`` words
-    have no window. Rows repeated under one id, null ids included, each are documents of their own.
-    All columns are kept whatever their names; an empty table gives no rows.
+    have no window. Rows repeated under one id, null ids included, each are documents of their own;
+    ids may be of any type. All columns are kept whatever their names, and an added column called
+    like one of them gets an underscore more; an empty table gives no rows. Rows are told apart by
+    64-bit hashes of id and of text: rows that agree in both have the same text, so the same words go.
 
     Each document is recompressed on its own, as names are hashes of what they stand for and so
     hold globally: token runs, then pairs round by round. Every window is stood for by one of the
     symbols that its words settle, and the windows in a row with one symbol are a block. Blocks of
     equal symbol and equal words are repeated as a whole. Where one symbol stands for different
-    blocks, as at the ends of a shared passage, their single windows are compared instead. Equality
-    is that of two independent 64-bit hashes, of the symbol and of all words of the stretch.
+    blocks, as at the ends of a shared passage, their single windows are compared instead. What a
+    symbol proposes is verified over all words of the stretch by a second hash: symbols are made of
+    one half of each word's 128-bit hash, the stretch's hash of the other half, so both are
+    independent.
     """
     if not 2 <= width < 1 << COUNT_BITS:
         raise ValueError(f"width must be from 2 to {(1 << COUNT_BITS) - 1}")
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    key = text_key(text_col)
+    row, doc, key = packed(docs), F.xxhash64(F.col(id_col)), text_key(text_col)
     text = f"c{docs.columns.index(text_col)}"
     # rows travel whole, as one column, so that both joins below read one and the same exchange
-    keyed = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), key.alias("__key"))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("__key"), F.col(text_col).alias("__text"))
+    keyed = docs.select(row.alias("__row"), doc.alias("__id"), key.alias("__key"))
+    plain = docs.select(doc.alias("doc_id"), key.alias("__key"), F.col(text_col).alias("__text"))
     which = F.xxhash64("doc_id", "key", "place")  # equal in two blocks only lists one block more
 
     hot = _frequent(plain, width)
@@ -159,13 +158,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one of each block whose name other blocks have too; all > 0 reads what the marks read, so both share one exchange
     unsure = found.where((F.col("least") == which) & (F.col("all") > 0) & ((F.col("a") != F.col("b")) | is_hot))
     listed = unsure.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("name", "place", is_hot.alias("hot"))).alias("listed"))
-    unsure = keyed.join(listed, keyed["__id"].eqNullSafe(listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "__id", "__key", "listed")
+    unsure = keyed.join(listed, (keyed["__id"] == listed["d"]) & (keyed["__key"] == listed["k"])).select("__row", "__id", "__key", "listed")
     lists = _windows(unsure, text, width).repartition("name", "salt")
     single = lists.select("name", "salt", "n", "doc_id", "key", "place", F.posexplode("contents").alias("i", "content")).withColumn("all", F.sum("n").over(of_block)).where("all > 1")
     one = F.col("place") - F.col("place").bitwiseAND((1 << COUNT_BITS) - 1) + F.col("i").cast("long") * (1 << COUNT_BITS) + 1
     marks = found.where("all > 1").select("doc_id", "key", "place").unionByName(single.select("doc_id", "key", one.alias("place")))
     marked = marks.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list("place").alias("places"))
-    joined = keyed.join(marked, keyed["__id"].eqNullSafe(marked["d"]) & (keyed["__key"] == marked["k"]), "left")
+    joined = keyed.join(marked, (keyed["__id"] == marked["d"]) & (keyed["__key"] == marked["k"]), "left")
 
     def apply(batches):
         for batch in batches:
@@ -191,7 +190,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(carried, docs.schema.fields, strict=True))
     out = joined.select("__row.*", "places").mapInArrow(apply, f"{kinds}, __n_words long, __n_removed long, __kept string")
     new = F.when(F.col("__n_removed") > 0, F.col("__kept"))
-    return out.select(*[(F.coalesce(new, F.col(k)) if c == text_col else F.col(k)).alias(c) for k, c in zip(carried, docs.columns, strict=True)], "__n_words", "__n_removed", "__kept")
+    return out.select(*[(F.coalesce(new, F.col(k)) if c == text_col else F.col(k)).alias(c) for k, c in zip(carried, docs.columns, strict=True)], *[F.col(c).alias(fresh(docs, c)) for c in ("__n_words", "__n_removed", "__kept")])
 
 
 def substring_report(docs: DataFrame, width: int = 35) -> DataFrame:
