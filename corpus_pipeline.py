@@ -1,7 +1,10 @@
 """Corpus pipeline: toxicity, line dedup, near duplicates, substring dedup, packing.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``. All but the last return the columns of
-``documents``; a stage that changes a text also brings its ``n_chars`` up to date.
+``documents``, whatever further columns there are; a stage that changes a text also brings its
+``n_chars`` up to date and drops the document if no word of it is left, as all of it stands
+elsewhere. Null texts and those without a word pass every stage and pack as their end token; rows
+that repeat come down to one in the near-duplicate stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut
+from matchloom.llm.common import cut, fresh
 from matchloom.llm.lines import line_dedup
 from matchloom.llm.near import near_dedup
 from matchloom.llm.packing import packed_sequences
@@ -18,10 +21,12 @@ from matchloom.llm.substring import substring_dedup
 from matchloom.llm.toxicity import drop_toxic
 
 
-def _counted(out: DataFrame, changed: str, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with ``n_chars`` of texts that changed."""
-    size = F.when(F.col(changed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return (out.withColumn("n_chars", size) if size is not None else out).select(*docs.columns)
+def _changed(out: DataFrame, count: str, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with ``n_chars`` of texts that changed and without texts that lost all their words."""
+    hit = F.col(fresh(docs, count)) > 0
+    left = out.where(~hit | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup(docs, min_lines=1), "__n_deleted", docs)
+    return _changed(line_dedup(docs), "__n_deleted", docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(substring_dedup(docs), "__n_removed", docs)
+    return _changed(substring_dedup(docs), "__n_removed", docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from matchloom.llm.common import SPACE, cut, fresh, join_counted, packed, text_k
 #: Parts that the second halves of one class are dealt to, in order, where its members are ranked.
 PARTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
-#: Members of an interval that may be ranked in one task.
-HOT_GROUP = 1 << 14
+#: Members of an interval that may be ranked in one task: this part of all lines, and never more than the bound.
+HOT_GROUP_PART, HOT_GROUP = 256, 1 << 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int | None) -> DataFrame:
@@ -54,12 +54,12 @@ def _right(x: Column, bits: int) -> Column:
     return F.call_function("shiftright", x, F.lit(bits))
 
 
-def _stored(table: DataFrame, held: DataFrame, state: DataFrame | None) -> DataFrame:
+def _stored(table: DataFrame, held: DataFrame, state: DataFrame | None, most: int) -> DataFrame:
     """A row for each text that ``table`` has suffixes of: its ranks ``v`` so far, and ``later``, its suffixes that aren't the first of their interval.
 
     A rank, whether others share it and whether very many do are one long.
     """
-    value = F.col("rank") * 4 + F.when(F.col("n") > HOT_GROUP, 3).when(F.col("n") > 1, 1).otherwise(0)
+    value = F.col("rank") * 4 + F.when(F.col("n") > most, 3).when(F.col("n") > 1, 1).otherwise(0)
     later = F.when((F.col("n") > 1) & ((F.col("first.u") != F.col("u")) | (F.col("first.i") != F.col("i"))), F.struct("i", F.col("first.u").alias("fu"), F.col("first.i").alias("fi")))
     news = table.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("new"), F.collect_list(later).alias("later"))
     if state is None:
@@ -85,8 +85,9 @@ def suffix_ranks(held: DataFrame, least: int = 1):
     """
     at = held.select("u", "id", "key", F.posexplode("lines").alias("i", "l")).select("u", "id", "key", "i", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
     total = held.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    most = min(HOT_GROUP, max(64, total // HOT_GROUP_PART))
     classes = _ranks(_named(at, ["a", "b"]), [], _right(F.col("a"), 52), ["a", "b"], F.lit(0).cast("long"))
-    state = _stored(_settled(at.drop("id", "key"), classes, ["a", "b"], total), held, None)
+    state = _stored(_settled(at.drop("id", "key"), classes, ["a", "b"], total), held, None, most)
     yield 1, state
     h, width = 1, max(1, -(-total // PARTS))
     while True:
@@ -106,7 +107,7 @@ def suffix_ranks(held: DataFrame, least: int = 1):
             classes = _ranks(_named(many, ["r1", "r2"]), ["r1"], half, ["r2"], F.col("r1"))
             table = table.unionByName(_settled(many.select("u", "i", "r1", "r2"), classes, ["r1", "r2"], sum(r["count"] for r in kinds if r["kind"] == 3)))
         h += step
-        state = _stored(table, held, state)
+        state = _stored(table, held, state, most)
         yield h, state
 
 

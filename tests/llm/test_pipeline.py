@@ -1,14 +1,24 @@
 """The corpus pipeline stage by stage, and the thin queries' shapes."""
 
+import collections
+import hashlib
 import re
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
-from matchloom.llm import near, registry, substring
+from matchloom.llm import near, packing, registry, substring, tokens, toxicity
+from test_operators import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_stages_do_what_brute_force_does(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -16,19 +26,74 @@ def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
         out = stage(spark, docs, SF)
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
+        rows = [(r["doc_id"], r["text"]) for r in before.collect()]
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
             assert all(r["n_chars"] == len(r["text"] or "") for r in docs.collect())
+            got = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if name == "toxicity":
+            marks = toxicity.toxicity(before, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert set(got) == {r["doc_id"] for r in marks if not r["predicted"]} and all(got[d] == t for d, t in rows if d in got)
+        if name == "line_dedup":
+            want = {d: (gone, sha) for d, _, gone, sha in brute_lines(rows, 2, 3)}
+            assert {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in got.items()} == {d: want[d][1] for d in got}
+            assert {d for d, _ in rows} - set(got) == {d for d, t in rows if want[d][0] and not plain_words("\n".join(kept_lines(rows, 2, 3)[d]))}
         if name == "ngram_jaccard_join":
-            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            assert {r["doc_id"] for r in docs.collect()} == {g for _, _, g in near.brute_force(rows)}
+            assert set(got) == {g for _, _, g in near.brute_force(rows)}
         if name == "substring_dedup":
-            want = {d: (n, gone) for d, n, gone, _ in substring.brute_force([(r["doc_id"], r["text"]) for r in before.collect()])}
-            for r in docs.collect():
-                n, gone = want[r["doc_id"]]
-                assert len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) == n - gone
-    assert docs.where("length > 1024").count() == 0
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+            want = {d: (n, gone) for d, n, gone, _ in substring.brute_force(rows)}
+            assert set(got) == {d for d, (n, gone) in want.items() if not gone or gone < n}
+            assert all(len(plain_words(t)) == want[d][0] - want[d][1] for d, t in got.items())
+    tok = tokens.load_tokenizer(registry.TOKENIZER)
+    pieces = {(r["doc_id"], r["piece"]): r for r in docs.collect()}
+    assert {d for d, _ in pieces} == {d for d, _ in rows}
+    for d, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = [pieces[d, k] for k in range(sum(x == d for x, _ in pieces))]
+        assert sum(r["length"] for r in mine) == len(ids) and all(r["length"] <= 1024 for r in mine)
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine)
+    filled = collections.Counter()
+    for r in pieces.values():
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 1024 and len(filled) <= packing.lower_bound(np.bincount([r["length"] for r in pieces.values()], minlength=1025), 1024) * 1.02 + 1
+    assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def kept_lines(rows, m, least):
+    """The lines that stay of each document, from the same definition as ``brute_lines``."""
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        ls = (t or "").split("\n")
+        held, gone = [i for i, x in enumerate(ls) if plain_words(x)], set()
+        for size in (1, m):
+            for at in range(len(held) - size + 1):
+                places = held[at : at + size]
+                run = tuple(ls[i] for i in places)
+                if (size == m or len(plain_words(run[0])) >= least) and first.setdefault(run, (d, at)) != (d, at):
+                    gone.update(places)
+        out[d] = [x for i, x in enumerate(ls) if i not in gone]
+    return out
+
+
+def test_stages_take_nulls_clashes_and_empty_tables(spark):
+    """Further columns named like those that operators add, null and empty texts, repeated rows, no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __n_deleted string, __n_lines int, __n_removed string, __kept string, __n_words int, __row string, __key string, __id int, c0 string, places int, listed int"
+    more = ("x", 1, "y", "z", 2, "r", "k", 3, "c", 4, 5)
+    long = " ".join(f"w{i}" for i in range(5000))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, long), (5, "a line of words\nand another one"), (6, "a line of words\nand another one"), (None, None), (None, "null id here"), (7, long[:3000]), (7, long[:3000])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *more) for d, t in texts], schema)
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            got = out.collect()
+            if name == "best_fit_packing":
+                assert len(got) >= rows.count()
+            else:
+                assert out.columns == docs.columns, name
+                assert {tuple(r)[5:] for r in got} <= {more}
+            assert bool(got) == (not rows.isEmpty())
+    out = {r["doc_id"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert out == {1, 2, 3, 4, 5, None, 7}
 
 
 def test_rows_that_stand_twice_come_down_to_one(spark):
