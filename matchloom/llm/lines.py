@@ -12,8 +12,8 @@ from matchloom.llm.common import SPACE, cut, fresh, join_counted, packed, text_k
 #: Parts that the second halves of one class are dealt to, in order, where its members are ranked.
 PARTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
-#: Members of an interval that may be ranked in one task: this part of all lines, and never more than the bound.
-HOT_GROUP_PART, HOT_GROUP = 256, 1 << 16
+#: Members of an interval that may be ranked in one task, some 20 MB of rows.
+HOT_GROUP = 1 << 18
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int | None) -> DataFrame:
@@ -54,12 +54,12 @@ def _right(x: Column, bits: int) -> Column:
     return F.call_function("shiftright", x, F.lit(bits))
 
 
-def _stored(table: DataFrame, held: DataFrame, state: DataFrame | None, most: int) -> DataFrame:
+def _stored(table: DataFrame, held: DataFrame, state: DataFrame | None) -> DataFrame:
     """A row for each text that ``table`` has suffixes of: its ranks ``v`` so far, and ``later``, its suffixes that aren't the first of their interval.
 
     A rank, whether others share it and whether very many do are one long.
     """
-    value = F.col("rank") * 4 + F.when(F.col("n") > most, 3).when(F.col("n") > 1, 1).otherwise(0)
+    value = F.col("rank") * 4 + F.when(F.col("n") > HOT_GROUP, 3).when(F.col("n") > 1, 1).otherwise(0)
     later = F.when((F.col("n") > 1) & ((F.col("first.u") != F.col("u")) | (F.col("first.i") != F.col("i"))), F.struct("i", F.col("first.u").alias("fu"), F.col("first.i").alias("fi")))
     news = table.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("new"), F.collect_list(later).alias("later"))
     if state is None:
@@ -85,9 +85,8 @@ def suffix_ranks(held: DataFrame, least: int = 1):
     """
     at = held.select("u", "id", "key", F.posexplode("lines").alias("i", "l")).select("u", "id", "key", "i", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
     total = held.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    most = min(HOT_GROUP, max(64, total // HOT_GROUP_PART))
     classes = _ranks(_named(at, ["a", "b"]), [], _right(F.col("a"), 52), ["a", "b"], F.lit(0).cast("long"))
-    state = _stored(_settled(at.drop("id", "key"), classes, ["a", "b"], total), held, None, most)
+    state = _stored(_settled(at.drop("id", "key"), classes, ["a", "b"], total), held, None)
     yield 1, state
     h, width = 1, max(1, -(-total // PARTS))
     while True:
@@ -107,7 +106,7 @@ def suffix_ranks(held: DataFrame, least: int = 1):
             classes = _ranks(_named(many, ["r1", "r2"]), ["r1"], half, ["r2"], F.col("r1"))
             table = table.unionByName(_settled(many.select("u", "i", "r1", "r2"), classes, ["r1", "r2"], sum(r["count"] for r in kinds if r["kind"] == 3)))
         h += step
-        state = _stored(table, held, state, most)
+        state = _stored(table, held, state)
         yield h, state
 
 
@@ -117,30 +116,35 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     From the intervals of the suffix array (see :func:`suffix_ranks`): a suffix that isn't the first
     of its interval copies as many lines as the interval has in common. Neighbouring suffixes that
     copy neighbouring lines of one text are one run, as long as the last of them reaches. Runs of
-    fewer than ``min_lines`` lines are left out, but for single lines of ``min_words`` words if that
-    is given. Null and empty texts have no lines; rows repeated under one id and text are one text;
+    fewer than ``min_lines`` lines are left out, but for those all of whose lines have ``min_words``
+    words, if that is given. Null and empty texts have no lines; rows repeated under one id and text are one text;
     an empty table has no runs; other columns are ignored.
     """
-    return _runs(_lines(docs, id_col, text_col, min_words), min_lines, min_words)
+    held = _lines(docs, id_col, text_col, min_words)
+    mine, first = held.select("u", "id", "key", "lines"), held.select(F.col("u").alias("fu"), F.col("id").alias("first_id"))
+    runs = _runs(held, min_lines, min_words).join(mine, "u").where(F.size(_counted(F.col("start"), F.col("length"), min_lines)) == F.col("length"))
+    return runs.join(first, "fu").select("u", "id", "key", "start", "length", "first_id", "first_start")
+
+
+def _counted(start: Column, length: Column, min_lines: int) -> Column:
+    """The lines of a run that count: all of a run that is long enough, else those wide enough."""
+    return F.filter(F.slice("lines", start + 1, length), lambda x: (length >= min_lines) | x["wide"])
 
 
 def _runs(held: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """``u, start, length, fu, first_start`` of all runs; single lines of any width are among them where ``min_words`` is given."""
     marks = []
     for h, state in suffix_ranks(held, min_lines):
-        later = state.select("u", F.explode("later").alias("x")).select("u", "x.i", F.lit(h).alias("h"), "x.fu", "x.fi")
-        if h < min_lines:
-            if h > 1 or min_words is None:
-                continue
-            wide = held.select("u", F.posexplode("lines").alias("i", "l")).where("l.wide").select("u", "i")
-            later = later.join(wide, ["u", "i"], "left_semi")
-        marks.append(later)
-    deep = functools.reduce(DataFrame.unionByName, marks).groupBy("u", "i").agg(F.max(F.struct("h", "fu", "fi")).alias("m")).select("u", "i", "m.*")
+        if h >= min_lines or (h == 1 and min_words is not None):
+            marks.append(state.select("u", F.explode("later").alias("x")).select("u", "x.i", F.lit(h).alias("h"), "x.fu", "x.fi"))
+    # all that follows keeps the texts where they are dealt here
+    dealt = functools.reduce(DataFrame.unionByName, marks).repartition("u")
+    deep = dealt.groupBy("u", "i").agg(F.max(F.struct("h", "fu", "fi")).alias("m")).select("u", "i", "m.*")
     by = Window.partitionBy("u").orderBy("i")
     new = ~((F.lag("i").over(by) == F.col("i") - 1) & (F.lag("fu").over(by) == F.col("fu")) & (F.lag("fi").over(by) == F.col("fi") - 1))
     chained = deep.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
     runs = chained.groupBy("u", "run").agg(F.min("i").alias("start"), F.max(F.col("i") + F.col("h")).alias("end"), F.first("fu").alias("fu"), F.min("fi").alias("first_start"))
-    mine, first = held.select("u", "id", "key"), held.select(F.col("u").alias("fu"), F.col("id").alias("first_id"))
-    return runs.join(mine, "u").join(first, "fu").select("u", "id", "key", "start", (F.col("end") - F.col("start")).alias("length"), "first_id", "first_start")
+    return runs.select("u", "start", (F.col("end") - F.col("start")).alias("length"), "fu", "first_start")
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -162,9 +166,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their names; where ``docs`` has a column called like an added one, the added one gets an underscore more.
     """
     held = _lines(docs, id_col, text_col, min_words)
-    at = _runs(held, min_lines, min_words).select("u", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("i"))
-    gone = at.groupBy("u").agg(F.collect_set("i").alias("at")).join(held, "u")
-    gone = gone.select(F.col("id").alias("__doc"), F.col("key").alias("__gk"), F.sort_array(F.transform("at", lambda i: F.get("lines", i)["pos"])).alias("__gone"))
+    runs = _runs(held, min_lines, min_words).groupBy("u").agg(F.collect_list(F.struct("start", "length")).alias("runs")).join(held, "u")
+    at = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.transform(_counted(r["start"], r["length"], min_lines), lambda x: x["pos"]))))
+    gone = runs.select(F.col("id").alias("__doc"), F.col("key").alias("__gk"), F.sort_array(at).alias("__gone")).where("size(__gone) > 0")
     keyed = docs.select(packed(docs).alias("__row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__key"))
     joined = keyed.join(gone, keyed["__id"].eqNullSafe(gone["__doc"]) & (keyed["__key"] == gone["__gk"]), "left")
     text = F.col("__row")[f"c{docs.columns.index(text_col)}"]
