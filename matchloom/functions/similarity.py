@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,68 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Pairs that are compared at a time, and the longest shorter side that fits the word of bits.
+AT_ONCE, WORD = 4096, 64
+
+
+def lcs_lengths(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """:func:`lcs_length` of many pairs: one row of bits a pair, one step a character, for all pairs of a block at once."""
+    out = np.zeros(len(pairs), np.int64)
+    sides = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    short = [i for i, (a, b) in enumerate(sides) if len(a) <= WORD and len(b) <= 1 << 12]
+    for i in set(range(len(pairs))) - set(short):
+        out[i] = lcs_length(*sides[i])
+    short.sort(key=lambda i: len(sides[i][1]))
+
+    def codes(texts: list[str], width: int, pad: int) -> np.ndarray:
+        table = np.full((len(texts), max(1, width)), pad, np.uint32)
+        for row, t in enumerate(texts):
+            table[row, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return table
+
+    for at in range(0, len(short), AT_ONCE):
+        block = short[at : at + AT_ONCE]
+        left, right = codes([sides[i][0] for i in block], WORD, 1 << 30), codes([sides[i][1] for i in block], max(len(sides[i][1]) for i in block), 1 << 31)
+        row = np.full(len(block), np.iinfo(np.uint64).max)
+        for j in range(right.shape[1]):
+            hit = row & np.packbits(left == right[:, j : j + 1], axis=1, bitorder="little").view(np.uint64).ravel()
+            row = (row + hit) | (row - hit)
+        out[block] = np.bitwise_count(~row)
+    return out
+
+
+class Ratios:
+    """Ratios asked for one by one and worked out together; what is asked for twice is worked out once.
+
+    Each question gives the slots of its value; slots 0 and 1 hold the values 0 and 100. A set ratio
+    is the greatest of three slots.
+    """
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], int] = {}
+
+    def ratio(self, a: str, b: str) -> int:
+        return 1 if a == b else self.known.setdefault((a, b), len(self.known) + 2)
+
+    def sort(self, a: str, b: str) -> int:
+        return self.ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+    def set(self, a: str, b: str) -> tuple[int, int, int]:
+        x, y = set(a.split()), set(b.split())
+        if not x or not y:
+            return 0, 0, 0
+        both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+        if both and (not left or not right):
+            return 1, 0, 0
+        one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+        return (self.ratio(one, two), self.ratio(both, one), self.ratio(both, two)) if both else (self.ratio(one, two), 0, 0)
+
+    def values(self) -> np.ndarray:
+        pairs = list(self.known)
+        total = np.array([len(a) + len(b) for a, b in pairs], np.float64)
+        return np.concatenate([[0.0, 100.0], 200.0 * lcs_lengths(pairs) / total])
+
+
 def ratio_of(a: str, b: str) -> float:
     """100 times twice the common subsequence over both lengths."""
     return 100.0 if a == b else 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
@@ -101,7 +164,20 @@ def _pairwise(f):
 
 jaro_winkler = _pairwise(jaro_winkler_of)
 jaro_winkler_bytes = _pairwise(lambda a, b: jaro_winkler_of(a.encode(), b.encode()))
-ratio, token_sort_ratio, token_set_ratio, partial_ratio = (_pairwise(f) for f in (ratio_of, token_sort_of, token_set_of, partial_of))
+partial_ratio = _pairwise(partial_of)
+
+
+def _together(ask):
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        ratios = Ratios()
+        slots = [ask(ratios, *pair) for pair in zip(a.fillna(""), b.fillna(""), strict=True)]
+        return pd.Series(ratios.values()[np.array(slots, np.int64).reshape(len(slots), -1)].max(1) if slots else [], dtype="float64")
+
+    return run
+
+
+ratio, token_sort_ratio, token_set_ratio = (_together(f) for f in (Ratios.ratio, Ratios.sort, Ratios.set))
 
 
 def containment(a: Column, b: Column) -> Column:

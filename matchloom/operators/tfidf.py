@@ -77,4 +77,5 @@ def retrieve(queries: DataFrame, targets: DataFrame, field: str, terms, k: int,
     tk, qk = dictionary(targets, field, "target_id"), dictionary(queries, field, "s1_id")
     tc, qc = term_counts(tk, terms(F.col("raw"))), term_counts(qk, terms(F.col("raw")))
     vocab = vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), **limits)
-    return expand(top(cosines(weights(qc, vocab), weights(tc, vocab)), k), qk, tk, k)
+    found = cosines(weights(qc, vocab), weights(tc, vocab)).withColumn("cosine", F.round("cosine", 9))  # ties don't hang on the order of sums
+    return expand(top(found, k), qk, tk, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,11 +101,17 @@ def sample_strata(rows: DataFrame, strata: list[str], key: str, count: int) -> D
 
 
 def systematic(rows: DataFrame, order: str, step: int) -> DataFrame:
-    """Every ``step``-th row: by place within range-sorted partitions, counted once, without a global window."""
-    sorted_rows = rows.orderBy(order)
-    indexed = sorted_rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = T.StructType([*rows.schema.fields, T.StructField("__at", T.LongType())])
-    return rows.sparkSession.createDataFrame(indexed, schema).where(F.col("__at") % step == 0).drop("__at")
+    """Every ``step``-th row in order: place within its range partition plus the rows of the partitions before.
+
+    The second level is a window over one row for each partition; no task sees all rows.
+    """
+    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    dealt = dealt.persist(StorageLevel.DISK_ONLY)  # both levels must read one and the same ranges
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return dealt.withColumn("__at", at).join(F.broadcast(offset), "__part").where((F.col("__before") + F.col("__at")) % step == 0).drop("__part", "__at", "__before")
 
 
 def shard_check(shards: list[DataFrame], whole: DataFrame, key: str = "source1_entity_id") -> DataFrame:

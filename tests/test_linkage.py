@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,15 +66,64 @@ def test_similarities():
 def test_features_have_their_contract():
     assert {k: len(v) for k, v in FT.SETS.items()} == {"base": 23, "number": 27, "latin": 35, "blank": 36}
     made = dict(zip(FT.SETS["latin"], FT.pair_features("Acme Ltd", "12 Main", "ACME", "15 Main", "S3"), strict=True))
-    assert made["core_equal"] == 1 and made["first_near"] == 1 and made["first_distance"] == 3 and made["source_three"] == 1
+    assert made["core_exact"] == 1 and made["first_number_near"] == 1 and made["first_number_distance"] == 3 and made["source3"] == 1
+    assert made["disjoint_address_numbers"] == 1 and made["name_common_tokens"] == 1 and made["query_name_len"] == 8 and made["target_has_address"] == 1
     assert FT.kind_of(FT.SETS["number"]) == "number"
     with pytest.raises(ValueError):
         FT.kind_of(["x"])
     far = dict(zip(FT.SETS["latin"], FT.pair_features("a", "5000", "a", "1", "S2"), strict=True))
-    assert far["first_distance"] == 1000 and far["first_near"] == 0
+    assert far["first_number_distance"] == 1000 and far["first_number_near"] == 0
     assert len(FT.char_features("abc", "abd")) == 7 and FT.rarity_overlap(["ab"], ["ab"], {})[0] == 1
 
 
+def slow_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_features_of_a_batch_are_those_of_the_definitions():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["Acme", "ltd", "PVT", "eurl", "7co", "café", "गुजरात", "the", "x", "12", "007", "İstanbul", "ﬁne", "w" * 70, "co"])
+    text = lambda: rng.choice([" ", ", ", "-"]).join(word() for _ in range(rng.randint(0, 6)))
+    rows = [(text(), text(), text(), text(), rng.choice(["S2", "S3"])) for _ in range(300)]
+    got = FT.batch_features(*map(list, zip(*rows, strict=True)))
+    ratio = lambda a, b: 100.0 if a == b else 200.0 * slow_lcs(a, b) / (len(a) + len(b))
+    in_order = lambda t: " ".join(sorted(t.split()))
+    for row, (n, a, m, b, source) in zip(got, rows, strict=True):
+        norm, core, latin = X.normalize_text, X.core_text, lambda t: X.normalize_text(X.ascii_text(t))
+        wide = lambda t: {x for x in norm(t).split() if len(x) >= 2}  # noqa: B023, E731
+        digits = lambda t: {x.lstrip("0") or "0" for x in re.findall(r"[0-9]+", t)}
+        lead = lambda t: int(re.search(r"[0-9]+", t)[0]) if re.search(r"[0-9]+", t) else -1
+        share = lambda x, y: len(x & y) / max(1, min(len(x), len(y)))
+        f, g, d, e = lead(a), lead(b), digits(a), digits(b)
+        far = abs(f - g) if min(f, g) >= 0 else -1
+        odd = [not (n + m).isascii(), not (a + b).isascii()]
+        x1, x2, y1, y2 = (latin(n), latin(m), latin(a), latin(b)) if True else ()
+        name = [ratio(norm(n), norm(m)), ratio(in_order(norm(n)), in_order(norm(m))), S.token_set_of(norm(n), norm(m))]
+        address = [ratio(norm(a), norm(b)), ratio(in_order(norm(a)), in_order(norm(b))), S.token_set_of(norm(a), norm(b))]
+        want = [*name, ratio(core(n), core(m)), ratio(in_order(core(n)), in_order(core(m))), ratio(X.fold_text(n), X.fold_text(m)), core(n) != "" and core(n) == core(m), norm(n) != "" and norm(n) == norm(m), *address]
+        want += [len(wide(n) & wide(m)), share(wide(n), wide(m)), len(wide(a) & wide(b)), share(wide(a), wide(b)), len(d & e), bool(d) and bool(e) and not d & e, b != "", len(norm(n)), len(norm(m)), len(norm(a)), len(norm(b)), source == "S3"]
+        want += [far == 0, min(far, 1000), 0 < far <= 10, far >= 0]
+        want += [ratio(x1, x2), ratio(in_order(x1), in_order(x2)), S.token_set_of(x1, x2)] if odd[0] else name
+        want += [ratio(y1, y2), S.token_set_of(y1, y2)] if odd[1] else [address[0], address[2]]
+        want += [share(set(x1.split()), set(x2.split())) if odd[0] else share(wide(n), wide(m)), *odd]
+        assert [round(float(v), 6) for v in row] == [round(float(v), 6) for v in want]
+
+
+@pytest.mark.parametrize("form", ["inc", "llc", "ltd", "limited", "private", "pvt", "corp", "corporation", "llp", "co", "company", "sas", "sarl", "sa", "eurl"])
+def test_each_legal_form_goes(spark, form):
+    assert X.core_text(f"Acme {form.upper()}") == "acme"
+    rows = spark.createDataFrame([(f"Acme {form}",), (f"Acme Private {form}",), (f"7{form}",), (f"{form}x Acme",)], "n string")
+    assert [r[0] for r in rows.select(X.core_key(F.col("n"))).collect()] == ["acme", "acme", "", f"{form}xacme"]  # a digit is a neighbour, which goes with the form
+    assert X.core_text("Acme GmbH Incorporated plc") == "acme gmbh incorporated plc"
+
+
 def pairs_of(spark, rows, more=""):
     return spark.createDataFrame(rows, "s1_id string, target_id string, prob double" + more)
 
@@ -222,3 +272,11 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
+
+
+def test_crc32_split_is_that_of_zlib(spark):
+    import zlib
+
+    rows = registry.queries()["h31_crc32_split"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r["half"] == zlib.crc32(r["entity_id"].encode()) % 2 for r in rows) and {r["half"] for r in rows} == {0, 1}
