@@ -30,12 +30,16 @@ def rarest(query_tokens: DataFrame, df: DataFrame, k: int = 3) -> DataFrame:
     return query_tokens.join(df, ["country", "tok"]).withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)
 
 
+def _shared(mine: DataFrame, posted: DataFrame, cap: int, k: int) -> DataFrame:
+    """Targets that hold one of a query's ``k`` rarest tokens; the frequency cap bounds what a token joins."""
+    chosen = rarest(mine, frequencies(posted).where(F.col("df") <= cap), k)
+    return chosen.select("s1_id", "country", "tok").join(posted, ["country", "tok"]).select("s1_id", "target_id").distinct()
+
+
 def token_route(queries: DataFrame, targets: DataFrame, column: str, cap: int, k: int = 3) -> DataFrame:
-    """Targets that share one of a query's rarest tokens; the frequency cap bounds what a token joins."""
-    posted = rare_postings(postings(targets, "target_id", F.col(column)), cap)
+    """Targets that share one of a query's rarest tokens."""
     mine = postings(queries.withColumnRenamed("entity_id", "s1_id"), "s1_id", F.col(column))
-    chosen = rarest(mine, posted.select("country", "tok", "df").distinct(), k)
-    return chosen.select("s1_id", "country", "tok").join(posted.select("target_id", "country", "tok"), ["country", "tok"]).select("s1_id", "target_id").distinct()
+    return _shared(mine, postings(targets, "target_id", F.col(column)), cap, k)
 
 
 def key_route(queries: DataFrame, targets: DataFrame, query_key: Column, target_key: Column) -> DataFrame:
@@ -47,9 +51,7 @@ def key_route(queries: DataFrame, targets: DataFrame, query_key: Column, target_
 
 def number_route(queries: DataFrame, targets: DataFrame, cap: int, k: int = 2) -> DataFrame:
     explode = lambda rows, i: rows.select(F.col(i), "country", F.explode(text.address_numbers(F.col("business_address"))).alias("tok"))
-    posted = rare_postings(explode(targets, "target_id"), cap)
-    chosen = rarest(explode(queries.withColumnRenamed("entity_id", "s1_id"), "s1_id"), posted.select("country", "tok", "df").distinct(), k)
-    return chosen.select("s1_id", "country", "tok").join(posted.select("target_id", "country", "tok"), ["country", "tok"]).select("s1_id", "target_id").distinct()
+    return _shared(explode(queries.withColumnRenamed("entity_id", "s1_id"), "s1_id"), explode(targets, "target_id"), cap, k)
 
 
 def union_routes(*routes: DataFrame) -> DataFrame:
@@ -105,6 +107,23 @@ def overlap_route(queries: DataFrame, targets: DataFrame, ads: DataFrame, cap: i
     return rank(scored, [F.desc("share"), F.desc("n"), F.desc_nulls_last("ads"), F.asc("target_id")]).where((F.col("rn") <= k) & (F.col("n") >= 2))
 
 
+def composed_route(queries: DataFrame, targets: DataFrame, overlap_country: str, cap: int = 3000, k: int = 3, top: int = 100, overlap_top: int = 50) -> DataFrame:
+    """All candidates of each query: the whole retrieval in one plan.
+
+    Rare tokens of names and of addresses propose a pool, of which the ``top`` best by name or by
+    address stay; equal core keys and accent keys are added, and for one country those of the pool
+    that share most address tokens.
+    """
+    high = union_routes(token_route(queries, targets, "business_name", cap, k), token_route(queries, targets, "business_address", cap, k))
+    full = field_scores(hydrate(high, queries, targets)).withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9))
+    name = F.col("business_name")
+    keys = [key_route(queries, targets, key, key) for key in (text.core_key(name), text.accent_key(text.core_key(name)))]
+    words = full.where(F.col("country") == overlap_country).select("s1_id", "target_id", "ads", text.tokens(F.col("q_address"), 2).alias("q"), text.tokens(F.col("t_address"), 2).alias("t"))
+    counted = words.withColumn("n", F.size(F.array_intersect("q", "t"))).withColumn("share", F.col("n") / F.greatest(F.lit(1), F.least(F.size("q"), F.size("t"))))
+    near = rank(counted, [F.desc("share"), F.desc("n"), F.desc("ads"), F.asc("target_id")]).where((F.col("rn") <= overlap_top) & (F.col("n") >= 2))
+    return union_routes(two_rank_pool(full, top), *keys, near.select("s1_id", "target_id"))
+
+
 def reciprocal_rank_fusion(routes: list[DataFrame], c: int = 10, k: int = 20) -> DataFrame:
     """Routes with ``rn`` fused by the sum of 1 / (c + rank)."""
     fused = functools.reduce(DataFrame.unionByName, [r.select("s1_id", "target_id", "rn") for r in routes]).groupBy("s1_id", "target_id").agg(F.sum(1.0 / (c + F.col("rn"))).alias("score"))

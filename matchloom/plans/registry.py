@@ -165,9 +165,9 @@ def _(spark, sf):
 POSTED = DOCS + f", posted as (select target_id, country, unnest({TOKENS.format('business_address', 4)}) as tok from t), df as (select country, tok, count(*) as df from posted group by all)"
 
 
-@query("b4_capped_postings", POSTED + " select target_id, country, tok, df from posted join df using (country, tok) where df <= 20")
+@query("b4_capped_postings", POSTED + " select target_id, country, tok, df from posted join df using (country, tok) where df <= 3000")
 def _(spark, sf):
-    return B.rare_postings(B.postings(docs(spark, sf)[1], "target_id", F.col("business_address")), 20).select("target_id", "country", "tok", "df")
+    return B.rare_postings(B.postings(docs(spark, sf)[1], "target_id", F.col("business_address")), 3000).select("target_id", "country", "tok", "df")
 
 
 @query("b6_blank_addresses", DOCS + " select target_id, country from t where business_address = ''")
@@ -215,19 +215,19 @@ def _(spark, sf):
 
 # ---- C: joins ---------------------------------------------------------------------------------
 
-RARE = POSTED + f", mine as (select entity_id as s1_id, country, unnest({TOKENS.format('business_address', 4)}) as tok from s1), ranked as (select m.*, df, row_number() over (partition by s1_id order by df, tok) as rk from mine m join df using (country, tok) where df <= 20)"
+RARE = POSTED + f", mine as (select entity_id as s1_id, country, unnest({TOKENS.format('business_address', 4)}) as tok from s1), ranked as (select m.*, df, row_number() over (partition by s1_id order by df, tok) as rk from mine m join df using (country, tok) where df <= 3000)"
 
 
 @query("e1_rare_tokens", RARE + ", pairs as (select distinct r.s1_id, p.target_id from ranked r join posted p using (country, tok) where rk <= 3) select s1.entity_id as source1_entity_id, coalesce(string_agg(p.target_id, ',' order by p.target_id), '') as candidate_entity_ids from s1 left join pairs p on p.s1_id = s1.entity_id group by 1")
 def _(spark, sf):
     q, t = docs(spark, sf)
-    return R.list_rows(q, B.token_route(q, t, "business_address", 20))
+    return R.list_rows(q, B.token_route(q, t, "business_address", 3000))
 
 
 @query("c2_rare_token_route", RARE + " select distinct r.s1_id, p.target_id from ranked r join posted p using (country, tok) where rk <= 3")
 def _(spark, sf):
     q, t = docs(spark, sf)
-    return B.token_route(q, t, "business_address", 20)
+    return B.token_route(q, t, "business_address", 3000)
 
 
 @query("c3_core_key_route", PAGES + KEYED + " select s1_id, target_id from pairs")
@@ -481,6 +481,24 @@ def _(spark, sf):
     return B.best(scored(spark, sf)[2], "prob", 4).select("s1_id", "target_id", "rn")
 
 
+def _rare(side: str, field: str) -> str:
+    return f""", {side}p as (select target_id, country, unnest({TOKENS.format(field, 4)}) as tok from t), {side}d as (select country, tok, count(*) as df from {side}p group by all having count(*) <= 3000),
+ {side}m as (select entity_id as s1_id, country, unnest({TOKENS.format(field, 4)}) as tok from s1), {side}r as (select m.*, row_number() over (partition by s1_id order by df, tok) as rk from {side}m m join {side}d using (country, tok))"""
+
+
+COMPOSED = PAGES + _rare("n", "business_name") + _rare("a", "business_address") + f""", high as (select s1_id, target_id from nr join np using (country, tok) where rk <= 3 union select s1_id, target_id from ar join ap using (country, tok) where rk <= 3),
+ js as (select h.*, a.country, round(jaro_winkler_similarity(lower(a.business_name), lower(b.business_name)), 9) as ns, round(jaro_winkler_similarity(lower(a.business_address), lower(b.business_address)), 9) as ads, {TOKENS.format('a.business_address', 2)} as q, {TOKENS.format('b.business_address', 2)} as w from high h join s1 a on a.entity_id = h.s1_id join t b using (target_id)),
+ rk as (select *, row_number() over (partition by s1_id order by ns desc, target_id) as i, row_number() over (partition by s1_id order by ads desc, target_id) as j from js),
+ ov as (select s1_id, target_id, len(list_intersect(q, w)) as n, row_number() over (partition by s1_id order by len(list_intersect(q, w)) / greatest(1, least(len(q), len(w))) desc, len(list_intersect(q, w)) desc, ads desc, target_id) as rn from js where country = 'en'),
+ composed as (select s1_id, target_id from rk where i <= 100 or j <= 100 union select a.entity_id, b.target_id from s1 a join t b on a.country = b.country and {core('a.business_name')} = {core('b.business_name')} where {core('a.business_name')} <> ''
+ union select a.entity_id, b.target_id from s1 a join t b on a.country = b.country and strip_accents({core('a.business_name')}) = strip_accents({core('b.business_name')}) where strip_accents({core('a.business_name')}) <> '' union select s1_id, target_id from ov where rn <= 50 and n >= 2)"""
+
+
+@query("e2_composed_retrieval", COMPOSED + " select s1_id, target_id from composed")
+def _(spark, sf):
+    return B.composed_route(*pages(spark, sf), "en")
+
+
 @query("e7_hybrid_top_k", FIELDS + ", r as (select *, row_number() over (partition by s1_id order by round(ns, 9) desc, target_id) as a, row_number() over (partition by s1_id order by round(ads, 9) desc, target_id) as b from js) select s1_id, target_id from r where a <= 2 union select s1_id, target_id from r where b <= 2")
 def _(spark, sf):
     rows = field_scored(spark, sf).withColumn("ns", F.round("ns", 9)).withColumn("ads", F.round("ads", 9))
