@@ -292,6 +292,68 @@ def test_quality_base_counts(docs):
     same(got, [(d, *base_counts(t)) for d, t, _ in ROWS])
 
 
+def test_quality_distances_are_those_of_the_formula(spark):
+    import math
+
+    rng = random.Random(8)
+    text = lambda lang: " ".join(rng.choice(quality.COMMON_WORDS[lang]) if rng.random() < 0.4 else "".join(rng.choice("abcÄé9.(#") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(20, 90)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 10)] + [(99, "1 2 3 #! ... " * 20, None)]
+    kind = [lambda c: c.islower(), lambda c: c.isupper(), lambda c: c.isdigit(), lambda c: c in ".,;:!?", lambda c: c in "'\"()[]{}-", lambda c: c in "#*$%&|<>", lambda c: True]
+
+    def shares(t):
+        w = words(t)
+        chars = collections.Counter(next(i for i, f in enumerate(kind) if f(c)) for x in w for c in x)
+        low = collections.Counter(x.lower() if x.lower() in quality.VOCABULARY else "" for x in w)
+        return [chars[i] / sum(map(len, w)) for i in range(7)], [low[v] / len(w) for v in [*quality.VOCABULARY, ""]]
+
+    def distance(p, q):
+        kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
+        mid = [(x + y) / 2 for x, y in zip(p, q)]
+        return math.sqrt(max(0.0, (kl(p, mid) + kl(q, mid)) / 2))
+
+    refs = {}
+    for lang in quality.COMMON_WORDS:
+        own = [shares(t) for _, t, x in rows if x == lang and not base_counts(t)[-1]]
+        refs[lang] = [[sum(o[h][i] for o in own) / len(own) for i in range(len(own[0][h]))] for h in (0, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for got in (quality.quality(docs), quality.quality(docs.drop("lang"), references=quality.language_references(docs))):
+        for r in got.collect():
+            p, w = shares(rows[min(r["doc_id"], 40)][1])
+            assert abs(r["char_distance"] - min(distance(p, x[0]) for x in refs.values())) < 1e-9
+            assert abs(r["word_distance"] - min(distance(w, x[1]) for x in refs.values())) < 1e-9
+    plain = quality.quality(docs.drop("lang")).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in plain)
+
+
+def test_ids_may_be_strings(spark):
+    text = spark.createDataFrame([(f"a{d}" if d is not None else None, t, x) for d, t, x in ROWS], "doc_id string, text string, lang string")
+    for name, run in OPERATORS.items():
+        out = run(text)
+        assert dict(out.dtypes)["doc_id"] == "string", name
+        assert {r["doc_id"] for r in out.collect()} == {f"a{d}" if d is not None else None for d, _, _ in ROWS} or name == "near_dedup"
+
+
+def test_url_filter_of_a_list_with_many_path_lengths(spark):
+    listed = [("example.com", "/" + "a" * k, "block" if k % 2 else "allow") for k in range(0, 5000, 7)] + [("other.org", "/x", "block")]
+    pages = [(i, f"http://{'www.' * (i % 2)}example.com/{'a' * (i * 41 % 5200)}") for i in range(60)] + [(100, "http://other.org/x/" + "y" * 100_000), (101, "http://none.net/x")]
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(listed, "host string, path string, verdict string")).collect()
+    for r in got:
+        fit = [(len(p), h + p, v) for h, p, v in listed if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        assert (r["rule"], r["verdict"]) == (max(fit)[1:] if fit else (None, "allow"))
+    assert len(got) == len(pages)
+
+
+def test_ranks_give_the_same_ids_only_where_that_is_proven(tmp_path):
+    import json
+
+    assert tokens.same_by_rank(TOKENIZER)
+    assert not tokens.same_by_rank(public_tokenizers.path("word_bpe_49k.json")) and not tokens.same_by_rank(public_tokenizers.path("piece_bpe_32k.model"))
+    spec = json.load(open(TOKENIZER, encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][:-1]  # one entry that no merge makes
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert not tokens.same_by_rank(str(tmp_path / "t.json"))
+
+
 def test_quality_keeps_prose_and_drops_junk(spark):
     rng, common = random.Random(4), "the of and to in is that it was for on with as be at".split()
     prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(150)).capitalize() + "."
