@@ -19,7 +19,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHED, CACHED_LENGTH = 200_000, 64
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file, as letter -> byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -44,7 +44,7 @@ class PrefixBPE:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError(f"{path}: a plain byte-level BPE is expected")
-        letters = _byte_letters()
+        letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
         self.bytes = {i: b for b, i in self.ids.items()}
@@ -156,8 +156,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     The ids are those of the tokenizers library without added begin or end tokens; special strings
     in texts become their ids. The decoded text is put together from the ids' bytes. A null text is
     empty: no tokens and the digests of nothing. Texts are handled as streams of pieces. Repeated
-    rows are handled alike; other columns are ignored; an empty table gives no rows.
+    rows are handled alike; ids may be of any type; other columns are ignored; an empty table gives no rows.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
 
     def run(batches):
         bpe = load_bpe(path)
@@ -174,7 +175,6 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 counts.append(n)
                 ids.append(sha.hexdigest())
                 texts.append(hashlib.sha256(b"".join(decoded).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("__text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import math
 import zlib
 
@@ -13,62 +12,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.bpe import PIECES, _byte_letters
 from matchloom.llm.common import cut, text_of
-from matchloom.llm.tokens import load_tokenizer
+from matchloom.llm.tokens import id_encoder, same_by_rank
 
 #: Pieces that one task packs at a time.
 GROUP = 1 << 14
 
 
-@functools.lru_cache(maxsize=2)
-def id_encoder(path: str):
-    """text -> ids of the tokenizers library for ``path``.
+def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's ids, then ``end_id``, cut into pieces of ``capacity`` where longer; the first piece takes what is over.
 
-    A plain byte-level BPE whose merges are in order of their ids gives the same ids through the
-    rank-based library, several times faster; any other file, and any text that library can't take,
-    goes through the tokenizers library itself.
+    A null or empty text is one piece, its end id; repeated rows give their pieces each; ids may be
+    of any type; other columns are ignored; an empty table gives no rows.
     """
-    slow = lambda text: load_tokenizer(path).encode(text, add_special_tokens=False).ids
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-        return slow
-    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if merged != sorted(set(merged)):
-        return slow
-    import tiktoken
-
-    letters = _byte_letters()
-    ranks = {bytes(letters[c] for c in s): i for s, i in model["vocab"].items()}
-    enc = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec.get("added_tokens", [])})
-
-    def fast(text: str) -> list[int]:
-        try:
-            return enc.encode(text, allowed_special="all")
-        except Exception:  # its pattern engine gives up on very long runs
-            return slow(text)
-
-    return fast
-
-
-def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids, then ``end_id``, cut into pieces of ``capacity`` where longer; the first piece takes what is over."""
+    rows, by_rank = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text")), same_by_rank(path)
 
     def run(batches):
-        encode = id_encoder(path)
+        encode = id_encoder(path, by_rank)
         for batch in batches:
             docs_, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                ids = np.array([*encode(text), end_id], "<u4")
+                ids = np.append(np.asarray(encode(text), "<u4"), np.array([end_id], "<u4"))
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     docs_.append(doc), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, batch.column("doc_id").type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("__text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -122,8 +92,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: in
     best fit, decreasing. A group whose bins exceed its lower bound gives up every bin that isn't
     full; a certified group gives up only those with a sixteenth or more free. What is given up is
     dealt anew to fewer groups and packed again, until the total meets the lower bound of all
-    pieces, one group has held all that was left, or ``rounds`` are over.
+    pieces, one group has held all that was left, or ``rounds`` are over. Columns named
+    ``sequence_id`` or ``offset`` in ``pieces`` are replaced; rows that repeat are pieces each; an
+    empty table gives no rows.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     columns = [f.name for f in pieces.schema.fields]
     items = cut(pieces).withColumn("__uid", F.monotonically_increasing_id())  # what is numbered is stored, so the numbers are stable
     whole = items.where(F.col("length") == capacity).select(*columns, (-1 - F.col("__uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
