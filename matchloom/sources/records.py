@@ -44,6 +44,12 @@ def decode_list(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
 
 
+def list_length(text: Column) -> Column:
+    """How many ids a list holds, by its commas."""
+    ids = F.coalesce(text, F.lit(""))
+    return F.when(ids == "", 0).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1)
+
+
 def list_rows(records: DataFrame, pairs: DataFrame, name: str = "candidate_entity_ids") -> DataFrame:
     """One row per record: its partners' ids, sorted and joined by commas; empty where it has none."""
     lists = pairs.groupBy(F.col("s1_id").alias("entity_id")).agg(encode_list(F.collect_set("target_id")).alias(name))
@@ -85,6 +91,13 @@ def merge_sparse(base: DataFrame, extra: DataFrame, name: str = "candidate_entit
     return merged, extra.join(base, "source1_entity_id", "left_anti")
 
 
+def resume(records: DataFrame, results: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that a broken-off run still has to do, and ids that only one of its two outputs has (an error if any)."""
+    done = results.select("source1_entity_id").union(candidates.select("source1_entity_id")).distinct()
+    left = records.withColumnRenamed("entity_id", "source1_entity_id").join(done, "source1_entity_id", "left_anti")
+    return left, lockstep(results, candidates)
+
+
 def hash_order(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns), *[F.col(c) for c in columns]]
 
