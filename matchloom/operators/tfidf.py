@@ -1,4 +1,4 @@
-"""Sparse TF-IDF retrieval in long form: (key, term, weight) rows, joined on terms."""
+"""Sparse TF-IDF retrieval: weights in long form (key, term, weight), products of whole rows block by block."""
 
 from __future__ import annotations
 
@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text
+from matchloom.operators.blocks import QUERIES, ROWS, best_rows, blocks, sparse_products
 
 
-def dictionary(rows: DataFrame, field: str, id_col: str) -> DataFrame:
-    """Distinct raw strings with the ids that bear them; a key is its string's 128-bit digest."""
-    return rows.groupBy(field).agg(F.array_sort(F.collect_list(id_col)).alias("ids")).select(F.md5(F.col(field).cast("binary")).alias("key"), F.col(field).alias("raw"), "ids")
+def digest(field: str) -> Column:
+    return F.md5(F.col(field).cast("binary"))
+
+
+def dictionary(rows: DataFrame, field: str) -> DataFrame:
+    """Distinct raw strings and how many rows bear them; a key is its string's 128-bit digest."""
+    return rows.groupBy(field).agg(F.count(F.lit(1)).alias("n_ids")).select(digest(field).alias("key"), F.col(field).alias("raw"), "n_ids")
+
+
+def members(rows: DataFrame, field: str, id_col: str) -> DataFrame:
+    """(key, id), one row each: a string that many rows bear is never one long list."""
+    return rows.select(digest(field).alias("key"), id_col)
 
 
 def word_terms(c: Column) -> Column:
@@ -29,53 +39,67 @@ def term_counts(keys: DataFrame, terms: Column) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n: DataFrame, min_df: int = 2, max_df: float = 0.8, most: int = 200_000) -> DataFrame:
-    """Terms within the frequency limits, the ``most`` commonest by count, with smooth idf; ``n`` is a one-row count of keys."""
+    """Terms within the frequency limits, the ``most`` commonest by count, numbered in this order, with smooth idf; ``n`` is a one-row count of keys."""
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(n.select("n")), F.col("df") <= F.col("n"))
     seen = seen.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("cf"), "term").limit(most)
-    return seen.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    seen = seen.withColumn("id", F.row_number().over(Window.orderBy(F.desc("cf"), "term")))  # over ``most`` rows at most
+    return seen.select("term", "id", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sublinear tf times idf, each key's row of length one."""
-    raw = counts.join(vocab, "term").select("key", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    raw = counts.join(vocab, "term").select("key", "term", "id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return raw.join(norm, "key").select("key", "term", "id", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def strongest(w: DataFrame, k: int) -> DataFrame:
-    at = Window.partitionBy("key").orderBy(F.desc("w"), "term")
+    at = Window.partitionBy("key").orderBy(F.desc(F.round("w", 9)), "term")
     return w.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k).drop("rk")
 
 
-def cosines(q: DataFrame, t: DataFrame) -> DataFrame:
-    a, b = q.select(F.col("key").alias("q_key"), "term", F.col("w").alias("wq")), t.select(F.col("key").alias("t_key"), "term", F.col("w").alias("wt"))
-    return a.join(b, "term").groupBy("q_key", "t_key").agg(F.sum(F.col("wq") * F.col("wt")).alias("cosine"))
+def sparse_rows(w: DataFrame, name: str) -> DataFrame:
+    """A key's whole vector in one row: its term numbers and weights."""
+    pairs = w.groupBy("key").agg(F.collect_list(F.struct("id", "w")).alias("p"))
+    return pairs.select(F.col("key").alias(name), F.col("p.id").alias("ids"), F.col("p.w").alias("ws"))
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
-    at = Window.partitionBy("q_key").orderBy(F.desc("cosine"), "t_key")
-    return scored.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)
+def top_products(q: DataFrame, t: DataFrame, k: int, n_queries: int, n_targets: int) -> DataFrame:
+    """(q_key, t_key, cosine, rk): the ``k`` keys of greatest product among those that share a term; ties by key.
+
+    ``q`` and ``t`` are weights; the counts of keys set the number of blocks. No pair is ever a row
+    unless it is among its block's best, however common a term is.
+    """
+    found = best_rows(sparse_rows(q, "q_key"), sparse_rows(t, "t_key"), sparse_products, k, n_queries, n_targets, floor=-1)
+    return found.withColumnRenamed("score", "cosine")
 
 
-def shortlist(q: DataFrame, t: DataFrame, terms: int = 16, most: int = 300, k: int = 100) -> DataFrame:
+def shortlist(q: DataFrame, t: DataFrame, n_queries: int = 1, n_targets: int = 1, terms: int = 16, most: int = 300, k: int = 100) -> DataFrame:
     """Keys shortlisted by a query's strongest terms, then ranked by their full vectors."""
-    short = top(cosines(strongest(q, terms), t), most).select("q_key", "t_key")
+    short = top_products(strongest(q, terms), t, most, n_queries, n_targets).select("q_key", "t_key")
     a, b = q.select(F.col("key").alias("q_key"), "term", F.col("w").alias("wq")), t.select(F.col("key").alias("t_key"), "term", F.col("w").alias("wt"))
-    exact = short.join(a, "q_key").join(b, ["t_key", "term"]).groupBy("q_key", "t_key").agg(F.sum(F.col("wq") * F.col("wt")).alias("cosine"))
-    return top(exact, k)
+    exact = short.join(a, "q_key").join(b, ["t_key", "term"]).groupBy("q_key", "t_key").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("cosine"))
+    at = Window.partitionBy("q_key").orderBy(F.desc("cosine"), "t_key")
+    return exact.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)
 
 
-def expand(found: DataFrame, queries: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """Keys back to ids, a key's ids in order, until ``k`` of a query."""
-    q, t = queries.select(F.col("key").alias("q_key"), F.explode("ids").alias("s1_id")), keys.select(F.col("key").alias("t_key"), F.posexplode("ids").alias("pos", "target_id"))
+def expand(found: DataFrame, queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Keys back to ids, a key's ids in order, until ``k`` of a query. ``queries`` and ``targets`` are members."""
+    first = Window.partitionBy("key").orderBy("target_id")
+    t = targets.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= k).withColumnRenamed("key", "t_key")  # no query takes more of a key
     at = Window.partitionBy("s1_id").orderBy("rk", "pos")
-    return found.join(t, "t_key").join(q, "q_key").withColumn("rn", F.row_number().over(at).cast("long")).where(F.col("rn") <= k).select("s1_id", "target_id", "cosine", "rn")
+    return found.join(t, "t_key").join(queries.withColumnRenamed("key", "q_key"), "q_key").withColumn("rn", F.row_number().over(at).cast("long")).where(F.col("rn") <= k).select("s1_id", "target_id", "cosine", "rn")
+
 
+def retrieve(queries: DataFrame, targets: DataFrame, field: str, terms, k: int, shortlisted: tuple[int, int, int] | None = None, **limits) -> DataFrame:
+    """Fit on targets, transform queries, rank by exact cosine. ``queries`` and ``targets`` have s1_id and target_id.
 
-def retrieve(queries: DataFrame, targets: DataFrame, field: str, terms, k: int, **limits) -> DataFrame:
-    """Fit on targets, transform queries, rank by exact cosine. ``queries`` and ``targets`` have s1_id and target_id."""
-    tk, qk = dictionary(targets, field, "target_id"), dictionary(queries, field, "s1_id")
+    ``shortlisted``: strongest terms, keys of the shortlist and keys kept, where not all keys are compared in full.
+    """
+    tk, qk = dictionary(targets, field), dictionary(queries, field)
     tc, qc = term_counts(tk, terms(F.col("raw"))), term_counts(qk, terms(F.col("raw")))
     vocab = vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), **limits)
-    found = cosines(weights(qc, vocab), weights(tc, vocab)).withColumn("cosine", F.round("cosine", 9))  # ties don't hang on the order of sums
-    return expand(top(found, k), qk, tk, k)
+    sizes = blocks(queries, QUERIES), blocks(targets, ROWS)  # rows bound keys
+    q, t = weights(qc, vocab), weights(tc, vocab)
+    found = shortlist(q, t, *sizes, *shortlisted) if shortlisted else top_products(q, t, k, *sizes)
+    return expand(found, members(queries, field, "s1_id"), members(targets, field, "target_id"), k)

@@ -1,45 +1,16 @@
-"""Nearest neighbours of dense vectors: queries in blocks against all rows, best kept per block and merged."""
+"""Nearest neighbours of dense vectors, exact."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries that one pass compares with all rows, so what a pass broadcasts is bounded.
-BLOCK = 4096
+from matchloom.operators.blocks import QUERIES, ROWS, best_rows, blocks, dot_products
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, other, rn): the ``k`` rows of greatest cosine for each query, itself apart; ties by key.
-
-    Queries are stated, so they are dealt in blocks of ``BLOCK``; each task returns at most ``k`` rows a query.
-    """
-    blocks = queries.select(key, vector).withColumn("__b", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / BLOCK))
-    found = None
-    for b in range(int(blocks.agg(F.coalesce(F.max("__b") + 1, F.lit(0))).first()[0])):
-        mine = blocks.where(F.col("__b") == b).select(key, vector).toPandas()
-        ids, q = mine[key].to_numpy(), np.array(mine[vector].tolist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-        def top(batches, ids=ids, q=q):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf[vector].tolist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                c = np.round(q @ v.T, 9)
-                other = pdf[key].to_numpy()
-                c[ids[:, None] == other[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(other, c.shape), -c))[:, :k]
-                i = np.repeat(np.arange(len(ids)), order.shape[1])
-                out = pd.DataFrame({key: ids[i], "other": other[order.ravel()], "c": c[i, order.ravel()]})
-                yield out[out["c"] > -2]
-
-        one = rows.select(key, vector).mapInPandas(top, f"{key} long, other long, c double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], f"{key} long, other long, rn long")
-    at = Window.partitionBy(key).orderBy(F.desc("c"), "other")
-    return found.withColumn("rn", F.row_number().over(at).cast("long")).where(F.col("rn") <= k).select(key, "other", "rn")
+    """(key, other, rn): the ``k`` rows of greatest cosine for each query, itself apart; ties by key. Rows without a vector are left out."""
+    side = lambda df, name: df.where(F.col(vector).isNotNull()).select(F.col(key).alias(name), F.col(vector).alias("v"))
+    q, t = side(queries, "q_key"), side(rows, "t_key")
+    found = best_rows(q, t, dot_products, k, blocks(q, QUERIES), blocks(t, ROWS), apart=True)
+    return found.select(F.col("q_key").alias(key), F.col("t_key").alias("other"), F.col("rk").cast("long").alias("rn"))

@@ -119,10 +119,10 @@ def _(spark, sf):
 @query("f4_strongest_terms", TFIDF + ", r as (select *, row_number() over (partition by raw order by round(w, 9) desc, term) as rk from tn) select md5(raw) as key, term from r where rk <= 4")
 def _(spark, sf):
     t = pages(spark, sf)[1]
-    keys = TI.dictionary(t, "business_address", "target_id")
+    keys = TI.dictionary(t, "business_address")
     counts = TI.term_counts(keys, TI.word_terms(F.col("raw")))
     w = TI.weights(counts, TI.vocabulary(counts, keys.agg(F.count(F.lit(1)).alias("n"))))
-    return TI.strongest(w.withColumn("w", F.round("w", 9)), 4).select("key", "term")
+    return TI.strongest(w, 4).select("key", "term")
 
 
 @query("f6_hardest_per_kind", LABELLED + ", r as (select *, row_number() over (partition by is_match order by case when is_match then prob else -prob end, s1_id, target_id) as rk from labelled) select is_match, s1_id, target_id from r where rk <= 10")
@@ -185,12 +185,12 @@ def _(spark, sf):
 
 @query("i1_string_dictionary", KEYS + " select md5(raw) as key, len(ids)::bigint as ids from tk")
 def _(spark, sf):
-    return TI.dictionary(pages(spark, sf)[1], "business_address", "target_id").select("key", F.size("ids").cast("long").alias("ids"))
+    return TI.dictionary(pages(spark, sf)[1], "business_address").select("key", F.col("n_ids").alias("ids"))
 
 
 @query("i2_word_terms", KEYS + f", c as (select raw, unnest({TERMS}) as term from tk) select term, count(*) as cf, count(distinct raw) as df from c group by 1")
 def _(spark, sf):
-    keys = TI.dictionary(pages(spark, sf)[1], "business_address", "target_id")
+    keys = TI.dictionary(pages(spark, sf)[1], "business_address")
     return TI.term_counts(keys, TI.word_terms(F.col("raw"))).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 

@@ -701,7 +701,7 @@ def tfidf_route(field: str, terms: str, k: int, most: int = 200_000, reverse: bo
 @query("i4_tfidf_weights", TFIDF + " select md5(raw) as key, term, round(w, 6) as w from tn")
 def _(spark, sf):
     t = pages(spark, sf)[1]
-    keys = TI.dictionary(t, "business_address", "target_id")
+    keys = TI.dictionary(t, "business_address")
     counts = TI.term_counts(keys, TI.word_terms(F.col("raw")))
     return TI.weights(counts, TI.vocabulary(counts, keys.agg(F.count(F.lit(1)).alias("n")))).select("key", "term", r6("w").alias("w"))
 
@@ -709,12 +709,7 @@ def _(spark, sf):
 @query("i6_word_tfidf_route", TFIDF + ", c as (select q.raw as q, t.raw as t, round(sum(q.w * t.w), 9) as c from qn q join tn t using (term) group by all), r as (select *, row_number() over (partition by q order by c desc, md5(t)) as rk from c), x as (select unnest(qk.ids) as s1_id, rk, tk.ids as tids from r join qk on qk.raw = r.q join tk on tk.raw = r.t where rk <= 10), y as (select s1_id, rk, unnest(tids) as target_id, unnest(range(len(tids))) as pos from x), z as (select *, row_number() over (partition by s1_id order by rk, pos) as rn from y) select s1_id, target_id, rn from z where rn <= 10")
 def _(spark, sf):
     q, t = pages(spark, sf)
-    q = q.withColumnRenamed("entity_id", "s1_id")
-    tk, qk = TI.dictionary(t, "business_address", "target_id"), TI.dictionary(q, "business_address", "s1_id")
-    tc, qc = (TI.term_counts(k, TI.word_terms(F.col("raw"))) for k in (tk, qk))
-    v = TI.vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")))
-    c = TI.cosines(TI.weights(qc, v), TI.weights(tc, v)).withColumn("cosine", F.round("cosine", 9))
-    return TI.expand(TI.top(c, 10), qk, tk, 10).select("s1_id", "target_id", "rn")
+    return TI.retrieve(q.withColumnRenamed("entity_id", "s1_id"), t, "business_address", TI.word_terms, 10).select("s1_id", "target_id", "rn")
 
 
 @query("i3_char_tfidf_route")
@@ -724,14 +719,20 @@ def _(spark, sf):
     return TI.retrieve(q.where("chars <> ''"), t.where("chars <> ''"), "chars", lambda c: TI.char_terms(c, 3, 4), 5, most=120_000).select("s1_id", "target_id", "rn")
 
 
-@query("i7_shortlist_rerank")
+def shortlist_sql(terms: int, most: int, keys: int, k: int) -> str:
+    """SQL of a shortlist by the strongest terms with an exact second ranking, over character terms of addresses."""
+    grams = char_terms_sql(NORM.format("raw"), 3, 4)
+    return TFIDF.replace(TERMS, grams).replace("0.8 * any_value(n))", "0.8 * any_value(n) order by sum(tf) desc, term limit 120000)") + f""", qs as (select *, row_number() over (partition by raw order by round(w, 9) desc, term) as s from qn),
+ a as (select q.raw as q, t.raw as t, round(sum(q.w * t.w), 9) as c from qs q join tn t using (term) where s <= {terms} group by all), b as (select *, row_number() over (partition by q order by c desc, md5(t)) as rk from a),
+ c as (select b.q, b.t, round(sum(x.w * y.w), 9) as c from b join qn x on x.raw = b.q join tn y on y.raw = b.t and y.term = x.term where rk <= {most} group by all), r as (select *, row_number() over (partition by q order by c desc, md5(t)) as rk from c),
+ x as (select unnest(qk.ids) as s1_id, rk, tk.ids as tids from r join qk on qk.raw = r.q join tk on tk.raw = r.t where rk <= {keys}), y as (select s1_id, rk, unnest(tids) as target_id, unnest(range(len(tids))) as pos from x),
+ z as (select *, row_number() over (partition by s1_id order by rk, pos) as rn from y) select s1_id, target_id, rn from z where rn <= {k}"""
+
+
+@query("i7_shortlist_rerank", shortlist_sql(16, 300, 100, 10))
 def _(spark, sf):
     q, t = pages(spark, sf)
-    q = q.withColumnRenamed("entity_id", "s1_id")
-    tk, qk = TI.dictionary(t, "business_address", "target_id"), TI.dictionary(q, "business_address", "s1_id")
-    tc, qc = (TI.term_counts(k, TI.char_terms(X.norm(F.col("raw")))) for k in (tk, qk))
-    v = TI.vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), most=120_000)
-    return TI.expand(TI.shortlist(TI.weights(qc, v), TI.weights(tc, v), 16, 300, 100), qk, tk, 10).select("s1_id", "target_id", "rn")
+    return TI.retrieve(q.withColumnRenamed("entity_id", "s1_id"), t, "business_address", lambda c: TI.char_terms(X.norm(c)), 10, (16, 300, 100), most=120_000).select("s1_id", "target_id", "rn")
 
 
 @query("c19_reverse_retrieval", tfidf_route("business_name", WORD_TERMS, 3, reverse=True))

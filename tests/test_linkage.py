@@ -199,20 +199,55 @@ def test_learning_end_to_end(spark, tmp_path):
     assert M.blend(scored, "select_prob", "rank_prob", 0.5).count() == scored.count()
 
 
-def test_shortlist_agrees_with_exact_where_it_holds_all(spark):
+def long_form_products(q, t, k):
+    """Every pair that shares a term, by a join on terms."""
+    a, b = q.select(F.col("key").alias("q_key"), "term", F.col("w").alias("x")), t.select(F.col("key").alias("t_key"), "term", F.col("w").alias("y"))
+    best = {}
+    for r in a.join(b, "term").groupBy("q_key", "t_key").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("c")).collect():
+        best.setdefault(r["q_key"], []).append((-r["c"], r["t_key"]))
+    return {(q, t, round(-c, 8)) for q, found in best.items() for c, t in sorted(found)[:k]}
+
+
+def test_products_by_blocks_are_those_of_a_join(spark, monkeypatch):
+    from matchloom.operators import blocks
+
     q, t = registry.pages(spark, SF)
-    tk, qk = TI.dictionary(t, "business_address", "target_id"), TI.dictionary(q.withColumnRenamed("entity_id", "s1_id"), "business_address", "s1_id")
+    tk, qk = TI.dictionary(t, "business_address"), TI.dictionary(q, "business_address")
     tc, qc = (TI.term_counts(k, TI.char_terms(X.norm(F.col("raw")))) for k in (tk, qk))
     v = TI.vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")))
-    qw, tw = TI.weights(qc, v), TI.weights(tc, v)
-    best = lambda df: {(r["q_key"], round(r["cosine"], 6)) for r in df.where("rk = 1").collect()}
-    assert best(TI.shortlist(qw, tw, 10_000, 10_000, 5)) == best(TI.top(TI.cosines(qw, tw), 5))
+    qw, tw = TI.weights(qc, v).cache(), TI.weights(tc, v).cache()
+    want = long_form_products(qw, tw, 5)
+    rows = lambda df: {(r["q_key"], r["t_key"], round(r["cosine"], 8)) for r in df.collect()}
+    assert rows(TI.top_products(qw, tw, 5, 1, 1)) == rows(TI.top_products(qw, tw, 5, 3, 4)) == want
+    assert rows(TI.shortlist(qw, tw, 1, 2, 10_000, 10_000, 5)) == want
+    monkeypatch.setattr(blocks, "STEP", 3)
+    monkeypatch.setattr(blocks, "PRODUCTS", 2)
+    frames = [TI.sparse_rows(w, n).toPandas() for w, n in ((qw, "q_key"), (tw, "t_key"))]
+    assert {(r.q_key, r.t_key, round(r.score, 8)) for r in blocks.best_of(blocks.sparse_products, 5, -1, False)(*frames).itertuples()} == want
+    assert TI.top_products(qw.limit(0), tw, 5, 1, 1).count() == 0
+
+
+def test_hot_strings_expand_to_k_ids(spark):
+    rows = [(f"S2-{i:04d}", "x") for i in range(2000)] + [("S2-9999", "y")]
+    t = spark.createDataFrame(rows, "target_id string, field string")
+    q = spark.createDataFrame([("S1-1", "x"), ("S1-2", "x")], "s1_id string, field string")
+    found = spark.createDataFrame([("x", "y", 0.9, 1), ("x", "x", 0.8, 2)], "q string, t string, cosine double, rk int").select(F.md5("q").alias("q_key"), F.md5("t").alias("t_key"), "cosine", "rk")
+    got = TI.expand(found, TI.members(q, "field", "s1_id"), TI.members(t, "field", "target_id"), 3)
+    assert sorted((r["s1_id"], r["rn"], r["target_id"]) for r in got.collect()) == [(s, n, i) for s in ("S1-1", "S1-2") for n, i in ((1, "S2-9999"), (2, "S2-0000"), (3, "S2-0001"))]
 
 
 def test_nearest_is_brute_force(spark):
-    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
-    got = nearest(rows.where("vec_id < 3"), rows, "vec_id", "embedding", 5)
-    assert got.count() == 15 and got.where("vec_id = other").count() == 0
+    import numpy as np
+
+    from matchloom.operators.blocks import best_rows, dot_products
+
+    vectors = {i: [float(i % 3), float(i % 5), 1.0] for i in range(40)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+    want = {(i, j, n + 1) for i in range(3) for n, (_c, j) in enumerate(sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in vectors if j != i)[:5])}
+    assert {tuple(r) for r in nearest(rows.where("vec_id < 3"), rows, "vec_id", "embedding", 5).collect()} == want
+    side = lambda n: rows.select(F.col("vec_id").alias(n), F.col("embedding").alias("v"))
+    assert {(r["q_key"], r["t_key"], r["rk"]) for r in best_rows(side("q_key").where("q_key < 3"), side("t_key"), dot_products, 5, 2, 5, apart=True).collect()} == want
     assert nearest(rows.limit(0), rows, "vec_id", "embedding", 5).count() == 0
 
 
