@@ -38,21 +38,40 @@ def recall_at(ranked: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     return hit.select("rn", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("rn") <= F.col("k")).alias("found"))
 
 
+#: Ranges of values whose running sums are made apart.
+RANGES = 256
+
+
+def running(counted: DataFrame, column: str, sums: list[str], down: bool = False) -> DataFrame:
+    """Adds ``upto_x``, the sum of x up to and with each row in the order of ``column``, and ``all_x``, the whole sum.
+
+    Rows are dealt in ranges between approximate quantiles: one window sums within a range, another the
+    totals of at most ``RANGES`` ranges, so no task takes the whole table. ``column`` holds no value twice.
+    """
+    ends = counted.agg(F.array_distinct(F.percentile_approx(column, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]))).alias("__ends"))
+    dealt = counted.join(F.broadcast(ends), F.lit(True)).withColumn("__r", F.size(F.filter("__ends", lambda e: e < F.col(column)))).drop("__ends")
+    order = lambda c: F.desc(c) if down else F.asc(c)
+    totals = dealt.groupBy("__r").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before, whole = Window.orderBy(order("__r")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = totals.select("__r", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums], *[F.sum(f"__{c}").over(whole).alias(f"all_{c}") for c in sums])
+    within = Window.partitionBy("__r").orderBy(order(column)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.join(F.broadcast(totals), "__r")
+    return summed.select(*counted.columns, *[(F.sum(c).over(within) + F.col(f"__before_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
+
+
 def index_quantiles(values: DataFrame, column: str, ps: list[float]) -> DataFrame:
     """Sorted value at index floor(p * (n - 1)), by counts of values: ties never meet in one task."""
-    counted = values.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    upto = counted.withColumn("upto", F.sum("__n").over(Window.orderBy(column)))  # one row for each distinct value
-    total = upto.agg(F.max("upto").alias("total"))
-    want = total.select(F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"), "total").withColumn("at", F.floor(F.col("p") * (F.col("total") - 1)))
-    return want.join(upto, F.col("upto") > F.col("at")).groupBy("p").agg(F.min(column).alias("value"))
+    upto = running(values.groupBy(column).agg(F.count(F.lit(1)).alias("held")), column, ["held"])
+    reached = lambda p: F.col("upto_held") > F.floor(F.lit(float(p)) * (F.col("all_held") - 1))
+    found = upto.agg(*[F.min(F.when(reached(p), F.col(column))).alias(f"__{i}") for i, p in enumerate(ps)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"__{i}").alias("value")) for i, p in enumerate(ps)])))
 
 
 def curve(scored: DataFrame) -> DataFrame:
     """ROC-AUC and average precision, from counts at each distinct score."""
-    at = scored.groupBy("prob").agg(F.sum(F.col("is_match").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(down))
-    at = at.withColumn("area", (F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)).withColumn("gain", F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    at = scored.groupBy("prob").agg(F.sum(F.col("is_match").cast("long")).alias("pos"), F.count_if(~F.col("is_match")).alias("neg"))
+    at = running(at, "prob", ["pos", "neg"], down=True).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
+    at = at.withColumn("area", F.col("neg") * (F.col("tp") - F.col("pos") / 2)).withColumn("gain", F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return at.agg((F.sum("area") / F.greatest(F.lit(1), F.max("tp") * F.max("fp"))).alias("auc"), (F.sum("gain") / F.greatest(F.lit(1), F.max("tp"))).alias("average_precision"))
 
 

@@ -292,6 +292,33 @@ def test_metrics_are_bounded(spark):
     assert E.curve(registry.labelled(spark, SF)).where("auc between 0 and 1").count() == 1
 
 
+def test_running_sums_of_many_ranges(spark):
+    rows = [((i * 7919) % 5003 / 7.0, i % 5) for i in range(5003)]
+    df = spark.createDataFrame(rows, "v double, n long").repartition(6)
+    for down in (False, True):
+        total, want = 0, {}
+        for v, n in sorted(rows, reverse=down):
+            total += n
+            want[v] = total
+        got = E.running(df, "v", ["n"], down)
+        assert {r["v"]: r["upto_n"] for r in got.collect()} == want and {r["all_n"] for r in got.collect()} == {total}
+    text = plan(E.running(df, "v", ["n"]))
+    assert "CartesianProduct" not in text
+    values = spark.createDataFrame([(x,) for x in [3, 1, 1, 1, 9, 4, 4, 2, 8, 8]], "x long")
+    assert {r["p"]: r["value"] for r in E.index_quantiles(values, "x", [0.0, 0.5, 0.9, 1.0]).collect()} == {0.0: 1, 0.5: 3, 0.9: 8, 1.0: 9}
+    assert E.index_quantiles(values.limit(0), "x", [0.5]).first()["value"] is None
+
+
+def test_bootstrap_interval_is_that_of_resampling(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    delta = rng.normal(0.02, 0.3, 800)
+    got = E.bootstrap(spark.createDataFrame([(f"S1-{i}", float(d)) for i, d in enumerate(delta)], "s1_id string, delta double"), "s1_id", "delta", 1000).first()
+    low, high = np.quantile(rng.choice(delta, (4000, len(delta))).mean(1), [0.025, 0.975])
+    assert abs(got["mean"] - delta.mean()) < 1e-9 and abs(got["low"] - low) < 0.006 and abs(got["high"] - high) < 0.006
+
+
 def test_entry_has_unique_names():
     import __spark_entry__ as entry
 
