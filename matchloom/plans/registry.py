@@ -861,7 +861,7 @@ def _(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from matchloom.plans import probes, rules  # noqa: F401  they register their queries
+    from matchloom.plans import learning, probes, rules  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
