@@ -312,7 +312,12 @@ def _(spark, sf):
     return B.siblings(p.where("prob < 0.7").select("s1_id", "target_id"), p.where("prob >= 0.7")).select("s1_id", "target_id", "anchor_id")
 
 
-@query("c18_one_hop")
+ONE_HOP = SCORED + f""", an as (select s1_id, target_id as anchor_id, prob from scored where prob >= 0.7), tp as (select target_id, country, unnest({TOKENS.format('business_name', 4)}) as tok from t), td as (select country, tok, count(*) as df from tp group by all having count(*) <= 100),
+ m as (select tp.target_id as anchor_id, country, tok, row_number() over (partition by tp.target_id order by df, tok) as rk from tp join td using (country, tok) where tp.target_id in (select anchor_id from an)), f as (select distinct anchor_id, tp.target_id from m join tp using (country, tok) where rk <= 3 and anchor_id <> tp.target_id),
+ r as (select an.s1_id, f.target_id, an.anchor_id, an.prob, row_number() over (partition by an.s1_id, f.target_id order by an.prob desc, an.anchor_id desc) as i from an join f on f.anchor_id = an.anchor_id) select s1_id, target_id, anchor_id, prob as anchor_probability from r where i = 1"""
+
+
+@query("c18_one_hop", ONE_HOP)
 def _(spark, sf):
     _q, t, p, _truth = scored(spark, sf)
     return B.one_hop(p.where("prob >= 0.7"), t, "business_name", 100)

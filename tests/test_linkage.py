@@ -268,6 +268,9 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin" not in route and "CartesianProduct" not in route and "WindowGroupLimit" in route
     pool = plan(B.two_rank_pool(spark.createDataFrame([("a", "b", 0.1, 0.2)], "s1_id string, target_id string, ns double, ads double"), 3))
     assert pool.count("WindowGroupLimit") >= 2
+    weights = spark.createDataFrame([("k", "t", 1, 0.5)], "key string, term string, id int, w double")
+    products = plan(TI.top_products(weights, weights, 3, 2, 2))
+    assert "FlatMapCoGroupsInPandas" in products and "Join" not in products and "WindowGroupLimit" in products
     scan = plan(R.read_columns(spark, f"{SF}/orders.parquet", "o_orderkey").where("o_orderkey > 5"))
     assert "ReadSchema: struct<o_orderkey:bigint>" in scan and "PushedFilters" in scan
 
