@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.beside import best_beside
 from matchloom.operators.blocking import best
+from matchloom.operators.features import numbers
 
 
 def threshold_of(by: Column, table: dict[str, float], default: float) -> Column:
@@ -100,12 +105,20 @@ def rescue(rejected: DataFrame, name_least: float, address_least: float, prob_le
     return rejected.where((F.col("latin_name") >= name_least) & (F.col("latin_address") >= address_least) & (F.col("prob") >= prob_least))
 
 
-def anchor_group_rule(sibling_pairs: DataFrame, name_least: float, address_least: float, shared_number: bool = False) -> DataFrame:
-    """Candidates that resemble any accepted sibling enough."""
-    good = (F.col("name_set") >= name_least) & (F.col("address_set") >= address_least)
-    if shared_number:
-        good = good & F.col("shared_number")
-    return sibling_pairs.groupBy("s1_id", "target_id").agg(F.bool_or(good).alias("ok")).where("ok").select("s1_id", "target_id")
+def anchor_group_rule(candidates: DataFrame, anchors: DataFrame, fields: DataFrame, alike: Callable, name_least: float, address_least: float, shared_number: bool = False, blocks: DataFrame | None = None) -> DataFrame:
+    """Candidates that resemble any accepted sibling enough, in name and in address, and share a number with it if asked to.
+
+    ``fields`` have target_id, name and address; ``alike`` makes a table of two lists of texts.
+    """
+
+    def good(c, a):
+        ok = (alike(c["name"], a["name"]) >= name_least) & (alike(c["address"], a["address"]) >= address_least)
+        if shared_number:
+            theirs = [numbers(x) for x in a["address"]]
+            ok &= np.array([[bool(d & e) for e in theirs] for d in (numbers(x) for x in c["address"])])
+        return [ok.astype(np.float64)]
+
+    return best_beside(candidates, anchors, fields, good, ["ok"], blocks).where("ok > 0").select("s1_id", "target_id")
 
 
 def rule_grid(pairs: DataFrame, axes: dict[str, list[float]], truth_col: str = "is_match") -> DataFrame:
