@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries and rows that meet in one task at a time.
 QUERIES, ROWS = 1024, 32_768
+#: Queries where few of their terms are compared: rows are sent once for each block of queries.
+FEW = 4096
 #: Rows whose scores are held at once, and products that are made at once.
 STEP, PRODUCTS = 512, 4_000_000
 
@@ -56,17 +58,38 @@ def sparse_products(q: pd.DataFrame, t: pd.DataFrame) -> Callable[[int, int], np
     return score
 
 
+def sparse_pairs(q: pd.DataFrame, t: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Products of chosen pairs of the whole vectors ``all_ids``, ``all_ws`` and ``ids``, ``ws``; a query's pairs stand together."""
+    held = t["ids"].str.len().to_numpy(np.int64)
+    first, ids, ws = np.cumsum(held) - held, np.concatenate(t["ids"].tolist()), np.concatenate(t["ws"].tolist())
+    size = 1 + max(ids.max(), max(x.max() for x in q["all_ids"]))
+
+    def score(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        out, whole = np.zeros(len(row)), np.zeros(size)
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+        for a, b in zip(start, [*start[1:], len(row)], strict=True):
+            mine, n = q["all_ids"].iat[row[a]], held[col[a:b]]
+            whole[mine] = q["all_ws"].iat[row[a]]
+            flat = np.repeat(first[col[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), n), weights=whole[ids[flat]] * ws[flat], minlength=b - a)
+            whole[mine] = 0
+        return np.round(out, 9)
+
+    return score
+
+
 def frame(q: np.ndarray, t: np.ndarray, score: np.ndarray) -> pd.DataFrame:
     plain = lambda a: pd.Series(a, dtype=a.dtype)  # noqa: E731  strings stay objects, which Arrow takes as one array
     return pd.DataFrame({"q_key": plain(q), "t_key": plain(t), "score": score})
 
 
-def best_of(scorer: Scorer, k: int, floor: float, apart: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Of one meeting, each query's ``k`` best rows with a score over ``floor``; ties by key; ``apart``: a row isn't its own."""
+def best_of(scorer: Scorer, k: int, floor: float, apart: bool, exact: Callable | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of one meeting, each query's ``k`` best rows with a score over ``floor``; ties by key; ``apart``: a row isn't its own; ``exact`` scores these pairs anew."""
 
     def found(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return frame(np.array([], object), np.array([], object), np.array([], float))
+            none = frame(np.array([], object), np.array([], object), np.array([], float))
+            return none.assign(exact=none["score"]) if exact else none
         t = t.sort_values("t_key", ignore_index=True)  # so a place stands for a key in ties
         score, keys, mine = scorer(q, t), t["t_key"].to_numpy(), q["q_key"].to_numpy()
         top, at = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
@@ -81,7 +104,8 @@ def best_of(scorer: Scorer, k: int, floor: float, apart: bool) -> Callable[[pd.D
             order = np.argsort(-both, axis=1, kind="stable")[:, :k]
             top[better], at[better] = np.take_along_axis(both, order, 1), np.take_along_axis(place, order, 1)
         row, col = np.nonzero(top > floor)
-        return frame(mine[row], keys[at[row, col]], top[row, col])
+        made = frame(mine[row], keys[at[row, col]], top[row, col])
+        return made.assign(exact=exact(q, t)(row, at[row, col])) if exact else made
 
     return found
 
@@ -90,8 +114,8 @@ def blocks(df: DataFrame, size: int) -> int:
     return max(1, -(-df.count() // size))
 
 
-def best_rows(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, n_queries: int, n_rows: int, floor: float = -np.inf, apart: bool = False) -> DataFrame:
-    """(q_key, t_key, score, rk): the ``k`` best rows of each query.
+def best_rows(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, n_queries: int, n_rows: int, floor: float = -np.inf, apart: bool = False, exact: Callable | None = None) -> DataFrame:
+    """(q_key, t_key, score, rk): the ``k`` best rows of each query; with ``exact``, also their other score of this name.
 
     ``queries`` have q_key, ``rows`` t_key, both unique, so hashes deal them in even blocks; each block of
     queries meets each block of rows in a task that holds both, and yields at most ``k`` rows a query.
@@ -99,8 +123,8 @@ def best_rows(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, n_que
     key = rows.schema["t_key"].dataType.simpleString()
     deal = lambda df, c, n, other: df.withColumn(f"__{c}", F.pmod(F.xxhash64(f"{c}_key"), F.lit(n))).withColumn(f"__{'t' if c == 'q' else 'q'}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
     q, t = deal(queries, "q", n_queries, n_rows), deal(rows, "t", n_rows, n_queries)
-    kept = best_of(scorer, k, floor, apart)
+    kept = best_of(scorer, k, floor, apart, exact)
     drop = lambda df: df.drop(columns=["__q", "__t"])
-    met = q.groupBy("__q", "__t").cogroup(t.groupBy("__q", "__t")).applyInPandas(lambda a, b: kept(drop(a), drop(b)), f"q_key {queries.schema['q_key'].dataType.simpleString()}, t_key {key}, score double")
+    met = q.groupBy("__q", "__t").cogroup(t.groupBy("__q", "__t")).applyInPandas(lambda a, b: kept(drop(a), drop(b)), f"q_key {queries.schema['q_key'].dataType.simpleString()}, t_key {key}, score double{', exact double' if exact else ''}")
     at = Window.partitionBy("q_key").orderBy(F.desc("score"), "t_key")
     return met.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text
-from matchloom.operators.blocks import QUERIES, ROWS, best_rows, blocks, sparse_products
+from matchloom.operators.blocks import FEW, QUERIES, ROWS, best_rows, blocks, sparse_pairs, sparse_products
 
 
 def digest(field: str) -> Column:
@@ -75,12 +75,21 @@ def top_products(q: DataFrame, t: DataFrame, k: int, n_queries: int, n_targets:
 
 
 def shortlist(q: DataFrame, t: DataFrame, n_queries: int = 1, n_targets: int = 1, terms: int = 16, most: int = 300, k: int = 100) -> DataFrame:
-    """Keys shortlisted by a query's strongest terms, then ranked by their full vectors."""
-    short = top_products(strongest(q, terms), t, most, n_queries, n_targets).select("q_key", "t_key")
-    a, b = q.select(F.col("key").alias("q_key"), "term", F.col("w").alias("wq")), t.select(F.col("key").alias("t_key"), "term", F.col("w").alias("wt"))
-    exact = short.join(a, "q_key").join(b, ["t_key", "term"]).groupBy("q_key", "t_key").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("cosine"))
-    at = Window.partitionBy("q_key").orderBy(F.desc("cosine"), "t_key")
-    return exact.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)
+    """Keys shortlisted by a query's strongest terms, then ranked by their full vectors.
+
+    Where a block of keys proposes its best, it scores them in full as well, so no pair meets its terms again.
+    Inside, keys are bytes, which have the order of their digits.
+    """
+    at = Window.partitionBy("key").orderBy(F.desc(F.round("w", 9)), "term")
+    bits = F.struct("id", "w")
+    mine = q.withColumn("rk", F.row_number().over(at)).groupBy("key").agg(F.collect_list(bits).alias("p"), F.collect_list(F.when(F.col("rk") <= terms, bits)).alias("s"))
+    mine = mine.select(F.unhex("key").alias("q_key"), F.col("s.id").alias("ids"), F.col("s.w").alias("ws"), F.col("p.id").alias("all_ids"), F.col("p.w").alias("all_ws"))
+    theirs = sparse_rows(t, "t_key").withColumn("t_key", F.unhex("t_key"))
+    short = best_rows(mine, theirs, sparse_products, most, n_queries, n_targets, floor=-1, exact=sparse_pairs).drop("rk", "score")
+    at = Window.partitionBy("q_key").orderBy(F.desc("exact"), "t_key")
+    found = short.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select(digits("q_key"), digits("t_key"), F.col("exact").alias("cosine"), "rk")
 
 
 def expand(found: DataFrame, queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -99,7 +108,7 @@ def retrieve(queries: DataFrame, targets: DataFrame, field: str, terms, k: int,
     tk, qk = dictionary(targets, field), dictionary(queries, field)
     tc, qc = term_counts(tk, terms(F.col("raw"))), term_counts(qk, terms(F.col("raw")))
     vocab = vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), **limits)
-    sizes = blocks(queries, QUERIES), blocks(targets, ROWS)  # rows bound keys
+    sizes = blocks(queries, FEW if shortlisted else QUERIES), blocks(targets, ROWS)  # rows bound keys
     q, t = weights(qc, vocab), weights(tc, vocab)
     found = shortlist(q, t, *sizes, *shortlisted) if shortlisted else top_products(q, t, k, *sizes)
     return expand(found, members(queries, field, "s1_id"), members(targets, field, "target_id"), k)

@@ -67,3 +67,21 @@ def test_no_row_for_each_candidate_and_anchor(spark, name):
 
     plan = plan_of(registry.queries()[name](spark, SF))
     assert "FlatMapCoGroupsInPandas" in plan and "anchor_id" not in plan and "a_id" not in plan
+
+
+def test_shortlist_scores_in_full_where_it_proposes(spark):
+    from matchloom.operators import tfidf as TI
+
+    rows = [(f"{x:032x}", f"t{j}", j, 0.1 + (x * j % 7) / 10) for x in range(1, 30) for j in range(1, 9) if (x + j) % 3]
+    w = spark.createDataFrame(rows, "key string, term string, id int, w double")
+    made = TI.shortlist(w, w, 2, 3, 2, 5, 3)
+    assert " Join " not in plan_of(made)
+    by = collections.defaultdict(dict)
+    for key, term, _, x in rows:
+        by[key][term] = x
+    dot = lambda a, b: round(sum(v * b[t] for t, v in a.items() if t in b), 9)
+    for q in by:
+        top = dict(sorted(by[q].items(), key=lambda x: (-round(x[1], 9), x[0]))[:2])
+        short = sorted((t for t in by if set(top) & set(by[t])), key=lambda t: (-dot(top, by[t]), t))[:5]
+        want = sorted(((-dot(by[q], by[t]), t) for t in short))[:3]
+        assert [(-r["cosine"], r["t_key"]) for r in made.where(f"q_key = '{q}'").orderBy("rk").collect()] == want
