@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions import similarity as S
+from matchloom.functions import tables as TB
 from matchloom.functions import text as X
+from matchloom.operators.beside import best_beside
 
 #: Least score and least resemblance to any accepted target, by rule.
 SEED_RULES = {
@@ -27,18 +28,19 @@ SIBLING_RULES = {
 MEASURES = ["name", "name_set", "latin_name", "address", "address_set"]
 
 
-def resemblance(candidates: DataFrame, anchors: DataFrame, fields: DataFrame) -> DataFrame:
+def _measured(c, a):
+    yield from (TB.ratio(c["name"], a["name"]), TB.token_set(c["name"], a["name"]), TB.ratio(c["latin"], a["latin"]), TB.ratio(c["address"], a["address"]), TB.token_set(c["address"], a["address"]))
+
+
+def resemblance(candidates: DataFrame, anchors: DataFrame, fields: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """``candidates`` that have another accepted target beside them, with their best measure to any of these.
 
     ``candidates`` and ``anchors`` have s1_id and target_id, ``fields`` target_id, name and address.
-    What is compared is a candidate times its query's accepted targets, which the cap bounds.
+    ``blocks`` (s1_id, block): queries that tend to share targets, which are compared once for all of them.
     """
-    side = lambda p: fields.select(F.col("target_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("name", "address")], X.to_ascii("name").alias(f"{p}_latin"))
-    met = candidates.join(anchors.select("s1_id", F.col("target_id").alias("anchor_id")), "s1_id").where("target_id <> anchor_id")
-    met = met.join(side("target"), "target_id").join(side("anchor"), "anchor_id")
-    measured = met.select("s1_id", "target_id", S.ratio("target_name", "anchor_name").alias("name"), S.token_set_ratio("target_name", "anchor_name").alias("name_set"), S.ratio("target_latin", "anchor_latin").alias("latin_name"), S.ratio("target_address", "anchor_address").alias("address"), S.token_set_ratio("target_address", "anchor_address").alias("address_set"))
-    best = measured.groupBy("s1_id", "target_id").agg(*[F.max(m).alias(m) for m in MEASURES])
-    return candidates.join(best, ["s1_id", "target_id"])
+    texts = fields.fillna("", ["name", "address"]).select("target_id", "name", "address", X.to_ascii("name").alias("latin"))
+    carry = [c for c in candidates.columns if c not in ("s1_id", "target_id")]
+    return best_beside(candidates, anchors, texts, _measured, MEASURES, blocks, carry).drop("siblings")
 
 
 def passes(rule: dict[str, float]) -> Column:
