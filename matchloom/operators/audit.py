@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
+from matchloom.functions import tables as TB
 from matchloom.functions import text as X
+from matchloom.operators.beside import asked, best_beside
 from matchloom.operators.blocking import hydrate
 from matchloom.operators.evaluate import error_budget
 from matchloom.sources.records import decode_list, lockstep
@@ -43,23 +45,26 @@ def missing_signals(truth: DataFrame, candidates: DataFrame, links: DataFrame, q
     return h.groupBy("kind", "country", "target_source").agg(F.count(F.lit(1)).alias("pairs"), *[F.count_if(s).alias(k) for k, s in signals.items()])
 
 
-def anchor_diagnostic(truth: DataFrame, candidates: DataFrame, links: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+def _alike(c, a):
+    return [TB.token_set(c[f], a[f]) / 100 for f in ("name", "address")]
+
+
+def anchor_diagnostic(truth: DataFrame, candidates: DataFrame, links: DataFrame, queries: DataFrame, targets: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """How alike targets that weren't accepted are to their query and to its accepted targets, by status and source.
 
     Statuses: positives that were rejected or never retrieved, and negatives that were rejected, of
-    queries with a link. All of them count, not a sample.
+    queries with a link. All of them count, not a sample. ``blocks`` (s1_id, block): queries that tend to share targets.
     """
     key = ["s1_id", "target_id"]
     mark = lambda df, c: df.select(*key, F.lit(1).alias(c))
     open_ = mark(truth, "t").join(mark(candidates, "c"), key, "full_outer").join(links.select(*key), key, "left_anti")
     status = F.when(F.col("t").isNull(), "rejected_negative").when(F.col("c").isNull(), "absent_positive").otherwise("rejected_positive")
-    clean = lambda df, id_, p: df.select(F.col(id_).alias(f"{p}_id"), X.char_norm("business_name").alias(f"{p}_name"), X.char_norm("business_address").alias(f"{p}_address"))
-    t = clean(targets, "target_id", "t").join(targets.select(F.col("target_id").alias("t_id"), "source"), "t_id")
-    met = open_.select(*key, status.alias("status")).join(links.select("s1_id", F.col("target_id").alias("a_id")), "s1_id")
-    met = met.join(t, met["target_id"] == t["t_id"]).join(clean(queries, "entity_id", "q"), F.col("s1_id") == F.col("q_id")).join(clean(targets, "target_id", "a"), "a_id")
-    alike = lambda a, b: F.when((F.col(a) != "") & (F.col(b) != ""), S.token_set_ratio(a, b) / 100).otherwise(0.0)
-    fields = {f"{who}_{f}": alike(f"{p}_{f}", f"t_{f}") for who, p in (("query", "q"), ("anchor", "a")) for f in ("name", "address")}
-    best = met.select(*key, "status", "source", *[c.alias(n) for n, c in fields.items()]).groupBy(*key, "status", "source").agg(*[F.max(n).alias(n) for n in fields])
+    open_ = open_.select(*key, status.alias("status")).distinct()
+    clean = lambda df, id_, p: df.select(F.col(id_).alias(p), X.char_norm("business_name").alias("name"), X.char_norm("business_address").alias("address"))
+    t, (own, mine) = clean(targets, "target_id", "target_id"), asked(clean(queries, "entity_id", "s1_id"))
+    fields = [f"{who}_{f}" for who in ("query", "anchor") for f in ("name", "address")]
+    near = best_beside(open_, links, t, _alike, fields[2:], blocks, ["status"])
+    best = near.join(best_beside(open_.select(*key), own, t, _alike, fields[:2], blocks, anchor_fields=mine).drop("siblings"), key).join(targets.select("target_id", "source"), "target_id")
     numbers = [f(n) for n in fields for f in (lambda n: F.percentile(n, F.lit(0.5)).alias(f"{n}_median"), lambda n: F.percentile(n, F.lit(0.9)).alias(f"{n}_p90"))]
     stronger = [F.count_if(F.col(f"anchor_{f}") > F.col(f"query_{f}") + 0.15).alias(f"anchor_stronger_{f}_0p15") for f in ("name", "address")]
     high = [F.count_if((F.col(f"anchor_{f}") >= 0.9) & (F.col(f"query_{f}") < 0.75)).alias(f"anchor_{f}_high_query_low") for f in ("name", "address")]
