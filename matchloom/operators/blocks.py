@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries and rows that meet in one task at a time.
 QUERIES, ROWS = 1024, 32_768
-#: Queries where few of their terms are compared: rows are sent once for each block of queries.
-FEW = 4096
+#: Queries and rows where few of their terms are compared: rows are sent once for each block of queries, and many pairs come back from each block of rows.
+FEW, LONG = 4096, 65_536
 #: Rows whose scores are held at once, and products that are made at once.
 STEP, PRODUCTS = 512, 4_000_000
 
@@ -110,6 +110,16 @@ def best_of(scorer: Scorer, k: int, floor: float, apart: bool, exact: Callable |
     return found
 
 
+def listed(made: pd.DataFrame) -> pd.DataFrame:
+    """A query's pairs, which stand together, in one row."""
+    q = made["q_key"].to_numpy()
+    cut = np.flatnonzero(q[1:] != q[:-1]) + 1
+    billionths = {c: np.rint(made[c].to_numpy() * 1e9).astype(np.int32) for c in ("score", "exact")}
+    parts = {"t_key": made["t_key"].to_numpy(), **billionths}
+    column = lambda x: pd.Series(np.split(x, cut) if len(q) else [], dtype=object)
+    return pd.DataFrame({"q_key": q[np.append(0, cut)] if len(q) else q} | {c: column(x) for c, x in parts.items()})
+
+
 def blocks(df: DataFrame, size: int) -> int:
     return max(1, -(-df.count() // size))
 
@@ -125,6 +135,11 @@ def best_rows(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, n_que
     q, t = deal(queries, "q", n_queries, n_rows), deal(rows, "t", n_rows, n_queries)
     kept = best_of(scorer, k, floor, apart, exact)
     drop = lambda df: df.drop(columns=["__q", "__t"])
-    met = q.groupBy("__q", "__t").cogroup(t.groupBy("__q", "__t")).applyInPandas(lambda a, b: kept(drop(a), drop(b)), f"q_key {queries.schema['q_key'].dataType.simpleString()}, t_key {key}, score double{', exact double' if exact else ''}")
+    cells, id_ = q.groupBy("__q", "__t").cogroup(t.groupBy("__q", "__t")), f"q_key {queries.schema['q_key'].dataType.simpleString()}"
+    if exact:  # many pairs a query: they travel as lists, scores as billionths
+        lists = cells.applyInPandas(lambda a, b: listed(kept(drop(a), drop(b))), f"{id_}, t_key array<{key}>, score array<int>, exact array<int>").repartition("q_key")
+        met = lists.select("q_key", F.inline(F.arrays_zip("t_key", "score", "exact"))).select("q_key", "t_key", *[(F.col(c) / F.lit(1e9)).alias(c) for c in ("score", "exact")])
+    else:
+        met = cells.applyInPandas(lambda a, b: kept(drop(a), drop(b)), f"{id_}, t_key {key}, score double")
     at = Window.partitionBy("q_key").orderBy(F.desc("score"), "t_key")
     return met.withColumn("rk", F.row_number().over(at)).where(F.col("rk") <= k)

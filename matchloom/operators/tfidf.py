@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text
-from matchloom.operators.blocks import FEW, QUERIES, ROWS, best_rows, blocks, sparse_pairs, sparse_products
+from matchloom.operators.blocks import FEW, LONG, QUERIES, ROWS, best_rows, blocks, sparse_pairs, sparse_products
 
 
 def digest(field: str) -> Column:
@@ -49,8 +49,8 @@ def vocabulary(counts: DataFrame, n: DataFrame, min_df: int = 2, max_df: float =
 def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sublinear tf times idf, each key's row of length one."""
     raw = counts.join(vocab, "term").select("key", "term", "id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "term", "id", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))  # over a string's own terms
+    return raw.select("key", "term", "id", (F.col("w") / norm).alias("w"))
 
 
 def strongest(w: DataFrame, k: int) -> DataFrame:
@@ -108,7 +108,8 @@ def retrieve(queries: DataFrame, targets: DataFrame, field: str, terms, k: int,
     tk, qk = dictionary(targets, field), dictionary(queries, field)
     tc, qc = term_counts(tk, terms(F.col("raw"))), term_counts(qk, terms(F.col("raw")))
     vocab = vocabulary(tc, tk.agg(F.count(F.lit(1)).alias("n")), **limits)
-    sizes = blocks(queries, FEW if shortlisted else QUERIES), blocks(targets, ROWS)  # rows bound keys
+    sizes = blocks(queries, FEW if shortlisted else QUERIES), blocks(targets, LONG if shortlisted else ROWS)  # rows bound keys
     q, t = weights(qc, vocab), weights(tc, vocab)
     found = shortlist(q, t, *sizes, *shortlisted) if shortlisted else top_products(q, t, k, *sizes)
+    found = found.where(F.col("rk") <= k)  # each key has an id at least, so later keys add none
     return expand(found, members(queries, field, "s1_id"), members(targets, field, "target_id"), k)
