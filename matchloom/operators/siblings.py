@@ -50,11 +50,21 @@ def passes(rule: dict[str, float]) -> Column:
     return ok
 
 
-def rule_gains(judged: DataFrame, rules: dict[str, dict[str, float]]) -> DataFrame:
-    """What each rule would add, true and false, from one pass; rules that add nothing have a row too."""
-    counts = [F.count_if(passes(r) & (F.col("is_match") == hit)).alias(f"{k}_{hit}") for k, r in rules.items() for hit in (True, False)]
+def rule_counts(judged: DataFrame, rules: dict[str, dict[str, float]]) -> DataFrame:
+    """One row: what each rule would add, true and false, from one pass."""
+    return judged.agg(*[F.count_if(passes(r) & (F.col("is_match") == hit)).alias(f"{k}_{hit}") for k, r in rules.items() for hit in (True, False)])
+
+
+def summed(counts: DataFrame, rules: dict[str, dict[str, float]]) -> DataFrame:
+    """Counts of parts as a row for each rule; rules that add nothing have a row too."""
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for k in rules for c in (f"{k}_True", f"{k}_False")])
     rows = [F.struct(F.lit(k).alias("rule"), (F.col(f"{k}_True") + F.col(f"{k}_False")).alias("added"), F.col(f"{k}_True").alias("added_true"), F.col(f"{k}_False").alias("added_false")) for k in rules]
-    return judged.agg(*counts).select(F.inline(F.array(*rows)))
+    return total.select(F.inline(F.array(*rows)))
+
+
+def rule_gains(judged: DataFrame, rules: dict[str, dict[str, float]]) -> DataFrame:
+    """What each rule would add, true and false."""
+    return summed(rule_counts(judged, rules), rules)
 
 
 def rescued(judged: DataFrame, rule: dict[str, float]) -> DataFrame:

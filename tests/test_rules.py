@@ -1,8 +1,12 @@
 """Rescue rules, strict scores, missing signals and resumed runs against brute force."""
 
 import collections
+import itertools
+import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +14,9 @@ from matchloom.functions import similarity as S
 from matchloom.functions import text as X
 from matchloom.operators import audit as A
 from matchloom.operators import siblings as SB
+from matchloom.operators import within as W
 from matchloom.plans import registry
+from matchloom.plans import rules as RU
 from matchloom.sources import records as R
 
 SF = "/root/testdata/sf0.01"  # records of sf0.001 share no core name
@@ -82,3 +88,59 @@ def test_strict_scores_refuse_other_queries(spark):
 def test_list_lengths(spark):
     rows = spark.createDataFrame([("",), (None,), ("a",), ("a,b,c",)], "x string")
     assert [r[0] for r in rows.select(R.list_length(F.col("x"))).collect()] == [0, 0, 1, 3]
+
+
+def page_table(spark, path, rows):
+    html = "<html lang=\"en\"><title>{}</title></html>"
+    spark.createDataFrame([(i, u, html.format(t)) for i, u, t in rows], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+def test_sibling_rescue_makes_no_row_for_a_pair(spark, tmp_path):
+    """One name of 300 queries and 600 targets: 180,000 pairs, of which none is dealt out."""
+    sf = page_table(spark, tmp_path, [(i, f"http://{i % 7}.org/{i % 50}", "Acme Foods") for i in range(900)])
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    written = lambda: sum(x.shuffleWriteRecords() for x in (s.apply(i) for s in [stages()] for i in range(s.size())))
+    before = written()
+    rows = registry.queries()["k7_sibling_rescue"](spark, sf).collect()
+    made = written() - before
+    assert {r["rule"]: r["added"] for r in rows}["strong_name_address"] > 50_000
+    assert 900 < made < 20_000
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_rules_of_blocks_are_those_of_pairs(spark, tmp_path, monkeypatch, again):
+    """With ids that stand in several rows, some of them without a name, and in more parts than one."""
+    names = ["Acme Foods", "acme-foods inc", "Acmé", "Other", "Other, ltd", "", "Alone"]
+    rows = [(i, f"http://{'abc' * (i % 4)}.org/{i % 11} x{i % 3}", names[i * i % 7 if i % 5 else 0]) for i in range(240)]
+    rows += [(i, f"http://again/{i}", names[(i + 3) % 7]) for i in (0, 1, 2, 15, 31, 47, 200)] if again else []
+    sf = page_table(spark, tmp_path, rows)
+    for name, most in (("CHUNK", 16), ("CELLS", 40), ("WORDS", 1)):
+        monkeypatch.setattr(W, name, most)
+    rules = SB.SIBLING_RULES | SB.SEED_RULES | {"any": {"prob": 0.3}, "none": {"name": 101}}
+    made = {tuple(r) for r in RU.gains(*registry.pages(spark, sf), rules, 0.8, 0.02).collect()}
+    assert made == {tuple(r) for r in SB.rule_gains(RU.judged(spark, sf, 0.8, 0.02), rules).collect()}
+    assert len(made) == len(rules) and sum(r[1] > 0 for r in made) > 4
+
+
+def test_rules_of_blocks_in_bounded_steps(monkeypatch):
+    """Queries by 64, tables by a few cells: the same counts as in one step."""
+    r = random.Random(5)
+    q = pd.DataFrame({"s1_id": [f"S1-{i}" for i in range(150)], "n": [r.randrange(10**6) for _ in range(150)]})
+    name = lambda: r.choice(["acme", "acme foods", "acme food", "zz"])
+    t = pd.DataFrame([{"name": (x := name()), "latin": x, "address": f"http://{r.randrange(30)}.org", "n": r.randrange(10**6), "owner": f"S1-{r.randrange(160)}"} for _ in range(90)])
+    rules = SB.SIBLING_RULES | SB.SEED_RULES
+    whole = W._gains(t[10:60], q, t, rules, registry.score_table, 0.95, 0.02)
+    prob, pass_ = registry.score_table(q, t), {m: f(t[c], t[c]) for m, (c, f) in W.MEASURES.items()}
+    want = np.zeros(whole.shape, int)
+    for s, j in itertools.product(range(len(q)), range(10, 60)):
+        near = np.flatnonzero(prob[s] >= 0.95)
+        if 0.02 <= prob[s, j] < 0.95 and len(near):
+            for k, rule in enumerate(rules.values()):
+                if all(prob[s, j] >= x if m == "prob" else pass_[m][j, near].max() >= x for m, x in rule.items()):
+                    want[k, int(q["s1_id"][s] != t["owner"][j])] += 1
+    assert (whole == want).all() and want.sum() > 1000
+    for at, most in (("CELLS", 100), ("WORDS", 1)):
+        monkeypatch.setattr(W, at, most)
+        assert (W._gains(t[10:60], q, t, rules, registry.score_table, 0.95, 0.02) == want).all()
