@@ -9,10 +9,13 @@ that repeat come down to one in the near-duplicate stage; an empty table gives n
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, fresh
+from matchloom.llm.common import cut, fresh, small_batches
 from matchloom.llm.lines import line_dedup
 from matchloom.llm.near import near_dedup
 from matchloom.llm.packing import packed_sequences
@@ -21,6 +24,20 @@ from matchloom.llm.substring import substring_dedup
 from matchloom.llm.toxicity import drop_toxic
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """Python workers stay alive from stage to stage, beside a heap that the stages before have filled, so none gets many texts at once."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _changed(out: DataFrame, count: str, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` of texts that changed and without texts that lost all their words."""
     hit = F.col(fresh(docs, count)) > 0
@@ -29,6 +46,7 @@ def _changed(out: DataFrame, count: str, docs: DataFrame) -> DataFrame:
     return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -37,14 +55,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _changed(line_dedup(docs), "__n_deleted", docs)
 
 
+@_in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup(docs)
 
 
+@_in_small_batches
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _changed(substring_dedup(docs), "__n_removed", docs)
 
 
+@_in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_sequences(docs, TOKENIZER)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words, as a Java, DuckDB and Python pattern.
@@ -13,6 +13,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_PART = 1024
 
 
+#: Rows that Python gets at a time in the pipeline: a batch is held by the JVM, as Arrow and as Python's own objects.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller bound that it has stays. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the session names.
 

@@ -17,8 +17,10 @@ from matchloom.llm.recompress import Stretches, blocks, mix, word_names
 COUNT_BITS = 10
 #: Names at least this frequent in a 64th of the documents, at most so many, are each dealt to this many parts.
 HOT_IN_SAMPLE, MOST_HOT, SALTS = 32, 1024, 64
-#: Words that one call of the kernel takes at least, where that many are there.
+#: Words, or single windows, whose rows are settled together, where that many are there.
 KERNEL_WORDS = 400_000
+#: Words that are recompressed at a time, but for a longer text: that takes many times their memory, and texts don't depend on each other.
+PIECE_WORDS = 1 << 15
 
 
 def _place(first, count):
@@ -52,33 +54,37 @@ def _rows(name, content, count, doc, key, place):
 PLACES = "name long, content long, n long, doc_id long, key long, place long"
 
 
+def _found(texts: list[tuple], width: int) -> tuple[np.ndarray, ...]:
+    """Name, content, row and place of the blocks of some texts, which come as (doc_id, key, names of the words)."""
+    size = np.array([len(w) for _, _, w in texts], np.int64)
+    words, row = np.concatenate([w for _, _, w in texts]), np.repeat(np.arange(len(texts)), size)
+    name, first, count = blocks(np.ascontiguousarray(words[:, 0]), row, width)
+    content = Stretches(words[:, 1]).hash(first, count + width - 1)
+    at, offset = row[first], np.cumsum(size) - size
+    ids, keys = (np.array([t[i] for t in texts], np.int64) for i in range(2))
+    return name, content, ids[at], keys[at], _place(first - offset[at], count)
+
+
 def _blocks(docs: DataFrame, width: int) -> DataFrame:
     """A row for each block: windows in a row that one symbol stands for, and the hash of all their words."""
 
     def run(batches):
-        def kernel():
-            size = np.array([len(w) for w in held], np.int64)
-            if not len(size) or size.max() < width:
-                return
-            words, row = np.concatenate(held), np.repeat(np.arange(len(held)), size)
-            name, first, count = blocks(np.ascontiguousarray(words[:, 0]), row, width)
-            if not len(first):
-                return
-            content = Stretches(words[:, 1]).hash(first, count + width - 1)
-            at, offset = row[first], np.cumsum(size) - size
-            yield _rows(*_settled(name, content, np.array(ids, np.int64)[at], np.array(keys, np.int64)[at], _place(first - offset[at], count)))
-
-        held, ids, keys, total = [], [], [], 0
+        piece, words, found, total = [], 0, [], 0
         for batch in batches:
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__key", "__text")), strict=True):
-                w = word_names(text)
-                held.append(w), ids.append(doc), keys.append(key)
-                total += len(w)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__key", "__text")), strict=True):
+                piece.append((*row[:2], word_names(row[2])))
+                words += len(piece[-1][2])
+                if words >= PIECE_WORDS:
+                    found.append(_found(piece, width))
+                    total += words
+                    piece, words = [], 0
                 if total >= KERNEL_WORDS:
-                    yield from kernel()
-                    held, ids, keys, total = [], [], [], 0
-        if held:
-            yield from kernel()
+                    yield _rows(*_settled(*map(np.concatenate, zip(*found, strict=True))))
+                    found, total = [], 0
+        if piece:
+            found.append(_found(piece, width))
+        if found:
+            yield _rows(*_settled(*map(np.concatenate, zip(*found, strict=True))))
 
     return docs.select("doc_id", "__key", "__text").mapInArrow(run, PLACES)
 
@@ -86,10 +92,18 @@ def _blocks(docs: DataFrame, width: int) -> DataFrame:
 def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
     """The windows of each row's listed blocks: a list for each block, or a row each under a frequent name."""
 
+    names = ["name", "salt", "contents", "n", "doc_id", "key", "place"]
+
+    def settled(hot):
+        name, content, *rest = _settled(*map(np.concatenate, zip(*hot, strict=True)))
+        single = pa.ListArray.from_arrays(pa.array(np.arange(len(content) + 1, dtype=np.int32)), pa.array(content.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((content % np.uint64(SALTS)).astype(np.int32)), single, *map(pa.array, rest)], names=names)
+
     def run(batches):
+        hot: list[tuple] = []
+        windows = 0
         for batch in batches:
-            name, salt, content, n, doc, keys, place = [], [], [], [], [], [], []
-            hot: list[tuple] = []
+            name, content, doc, keys, place = [], [], [], [], []
             texts = pa.compute.struct_field(batch.column("__row"), text).to_pylist()
             for whole, doc_id, key, listed in zip(texts, *(batch.column(c).to_pylist() for c in ("__id", "__key", "listed")), strict=True):
                 hashes = Stretches(word_names(whole)[:, 1])
@@ -99,13 +113,15 @@ def _windows(found: DataFrame, text: str, width: int) -> DataFrame:
                     here = hashes.hash(at, width)
                     if x["hot"]:
                         hot.append((np.full(count, x["name"], np.int64).view(np.uint64), here, np.full(count, doc_id, np.int64), np.full(count, key, np.int64), _place(at, 1)))
+                        windows += count
                     else:
-                        name.append(x["name"]), salt.append(0), content.append(here.view(np.int64)), n.append(1), doc.append(doc_id), keys.append(key), place.append(x["place"])
-            if hot:
-                names, contents, counts, docs, of, places = _settled(*map(np.concatenate, zip(*hot, strict=True)))
-                name.extend(names.view(np.int64).tolist()), salt.extend((contents % np.uint64(SALTS)).tolist()), content.extend(contents.view(np.int64)[:, None])
-                n.extend(counts.tolist()), doc.extend(docs.tolist()), keys.extend(of.tolist()), place.extend(places.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(salt, pa.int32()), pa.array(content, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(place, pa.int64())], names=["name", "salt", "contents", "n", "doc_id", "key", "place"])
+                        name.append(x["name"]), content.append(here.view(np.int64)), doc.append(doc_id), keys.append(key), place.append(x["place"])
+                if windows >= KERNEL_WORDS:
+                    yield settled(hot)
+                    hot, windows = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(np.zeros(len(name), np.int32)), pa.array(content, pa.list_(pa.int64())), pa.array(np.ones(len(name), np.int64)), pa.array(doc, pa.int64()), pa.array(keys, pa.int64()), pa.array(place, pa.int64())], names=names)
+        if hot:
+            yield settled(hot)
 
     return found.mapInArrow(run, "name long, salt int, contents array<long>, n long, doc_id long, key long, place long")
 

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from matchloom.llm import bpe, exact, lines, near, packing, quality, recompress, substring, tokens, toxicity, urls
@@ -142,6 +144,25 @@ def test_substring_dedup_of_small_alphabets(spark, monkeypatch, width, hot):
     same(got.collect(), substring.brute_force(rows, width))
 
 
+def test_substring_blocks_are_found_in_little_memory():
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+
+    docs, rng = Docs(), np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 5000, 1000))) for _ in range(450)]
+    substring._blocks(docs, 35)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(450)), "__key": list(range(450)), "__text": texts})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in docs.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 10_000 and peak < 80e6
+
+
 def test_substring_dedup_tells_texts_of_one_id_apart(spark):
     """Texts without an id whose hashes have their low 22 bits in common, one of them repeated under an id."""
     text = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n))

@@ -121,3 +121,15 @@ def test_queries_return_what_they_promise(spark):
     }
     for name, columns in promised.items():
         assert set(columns.split()) <= set(registry.queries()[name](spark, SF).columns), name
+
+
+def test_stages_with_python_bound_their_batches(spark):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get(name)
+    try:
+        for had, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            spark.conf.set(name, had)
+            out = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, SF)
+            assert spark.conf.get(name) == want and out.columns == docs.columns
+    finally:
+        spark.conf.set(name, before)
