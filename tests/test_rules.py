@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import similarity as S
 from matchloom.functions import text as X
 from matchloom.operators import audit as A
+from matchloom.operators import blocking as B
 from matchloom.operators import siblings as SB
 from matchloom.operators import within as W
 from matchloom.plans import registry
@@ -96,6 +98,44 @@ def page_table(spark, path, rows):
     return str(path)
 
 
+def dealt(spark):
+    """Rows that all stages so far have written for later ones."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_anchor_pairs_make_rows_only_where_they_are_returned(spark, tmp_path):
+    """One name of 150 queries and 300 targets: 45,000 pairs, of which none is dealt out, and rows pass one by one."""
+    df = registry.queries()["c17_anchor_pairs"](spark, page_table(spark, tmp_path, [(i, "", "Acme Foods") for i in range(450)]))
+    before = dealt(spark)
+    rows = df.count()
+    assert rows > 2_000_000
+    assert 450 < dealt(spark) - before < 20_000
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(transform(" in plan and not re.search(r"\*\(\d+\) Generate explode\(transform\(", plan)
+
+
+@pytest.mark.parametrize("part", [1, 1 << 16])
+def test_anchor_pairs_of_repeated_ids(spark, tmp_path, monkeypatch, part):
+    """Ids in several rows, under one name, several names or none, null ids and pages, in one part and in many, against SQL and pair by pair."""
+    names = ["Acme Foods", "acme-foods inc", "Acmé", "Other", "Other, ltd", "", "Alone"]
+    rows = [(i, "", names[i * i % 7 if i % 5 else 0]) for i in range(150)]
+    rows += [(i, "", names[(i + 3) % 7]) for i in (0, 1, 2, 15, 31, 47, 120)] + [(i, "", "") for i in (3, 4, 5)] + [(i, "x", names[0]) for i in (6, 7, 8, 7, 120)] + [(None, "", names[0])]
+    sf = page_table(spark, tmp_path, rows)
+    spark.createDataFrame([(900, None, None), (901, None, None)], "page_id long, url string, html string").write.mode("append").parquet(f"{sf}/pages.parquet")
+    monkeypatch.setattr(B, "PART", part)
+    made = sorted(tuple(r) for r in registry.queries()["c17_anchor_pairs"](spark, sf).collect())
+    p = registry.scored(spark, sf)[2]
+    by_pair = B.siblings(p.where("prob < 0.7").select("s1_id", "target_id"), p.where("prob >= 0.7")).select("s1_id", "target_id", "anchor_id")
+    assert made == sorted(tuple(r) for r in by_pair.collect())
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet/*.parquet'")
+    assert made == sorted(con.sql(registry.oracle_sql()["c17_anchor_pairs"]).fetchall())
+    assert len(made) > len(set(made)) > 5_000
+
+
 def test_sibling_rescue_makes_no_row_for_a_pair(spark, tmp_path):
     """One name of 300 queries and 600 targets: 180,000 pairs, of which none is dealt out."""
     sf = page_table(spark, tmp_path, [(i, f"http://{i % 7}.org/{i % 50}", "Acme Foods") for i in range(900)])
