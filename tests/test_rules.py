@@ -117,6 +117,18 @@ def test_anchor_pairs_make_rows_only_where_they_are_returned(spark, tmp_path):
     assert "Generate explode(transform(" in plan and not re.search(r"\*\(\d+\) Generate explode\(transform\(", plan)
 
 
+def test_anchor_pairs_cost_a_row_no_comparison_and_no_null(spark, tmp_path):
+    """Nothing stands after the last explode, and no column can hold a null; null pages and ids give no rows."""
+    sf = page_table(spark, tmp_path, [(i, "", "Acme Foods") for i in range(60)] + [(None, "", "Acme Foods")])
+    df = registry.queries()["c17_anchor_pairs"](spark, sf)
+    assert [(f.name, f.nullable) for f in df.schema] == [("s1_id", False), ("target_id", False), ("anchor_id", False)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().startswith("Generate explode(anchors")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["c17_anchor_pairs"]).fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) > 1_000
+
+
 @pytest.mark.parametrize("part", [1, 1 << 16])
 def test_anchor_pairs_of_repeated_ids(spark, tmp_path, monkeypatch, part):
     """Ids in several rows, under one name, several names or none, null ids and pages, in one part and in many, against SQL and pair by pair."""
